@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from .decontaminate import OP8_SQL, op8_benchmark_decontamination
+from .langid import op1_language_id
 from .media import op10_media_sniffing
+from .mixing import op4_source_mixing
 from .packing import op3_token_packing
 
-QUERIES = (op3_token_packing, op10_media_sniffing)
+QUERIES = (op1_language_id, op3_token_packing, op4_source_mixing, op8_benchmark_decontamination, op10_media_sniffing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_benchmark_decontamination": OP8_SQL}

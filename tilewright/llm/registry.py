@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from .chat import OP6_SQL, op6_chat_formatting
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .langid import op1_language_id
 from .media import op10_media_sniffing
 from .mixing import op4_source_mixing
 from .packing import op3_token_packing
+from .warc import OP7_SQL, op7_arc_to_warc
 
-QUERIES = (op1_language_id, op3_token_packing, op4_source_mixing, op8_benchmark_decontamination, op10_media_sniffing)
+QUERIES = (op1_language_id, op3_token_packing, op4_source_mixing, op6_chat_formatting, op7_arc_to_warc, op8_benchmark_decontamination, op10_media_sniffing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": OP8_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op7_arc_to_warc": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .chat import OP6_SQL, op6_chat_formatting
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
+from .kneser_ney import op2_quality_perplexity
 from .langid import op1_language_id
 from .lm import op5_lm_scoring
 from .media import op10_media_sniffing
@@ -17,7 +18,7 @@ from .neardup import op9_near_duplicates
 from .packing import op3_token_packing
 from .warc import OP7_SQL, op7_arc_to_warc
 
-QUERIES = (op1_language_id, op3_token_packing, op4_source_mixing, op5_lm_scoring, op6_chat_formatting, op7_arc_to_warc, op8_benchmark_decontamination, op9_near_duplicates, op10_media_sniffing)
+QUERIES = (op1_language_id, op2_quality_perplexity, op3_token_packing, op4_source_mixing, op5_lm_scoring, op6_chat_formatting, op7_arc_to_warc, op8_benchmark_decontamination, op9_near_duplicates, op10_media_sniffing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,7 +71,8 @@ def verified_windows(docs: DataFrame, items: DataFrame, text: str = "text", item
     # one scan: each document once (p = -1), and its shingles that some item has
     marker = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h")))
     words = docs.select(*keep, F.col(text).alias("text_"), alnum_words(F.col(text)).alias("words"))
-    spread = words.select(*keep, text_key(F.col("text_")).alias("key"), F.size("words").alias("n_words"), F.inline(F.concat(marker, *(hashed("words", k) for k in sizes))))
+    arrays = words.select(*keep, text_key(F.col("text_")).alias("key"), F.size("words").alias("n_words"), F.concat(marker, *(hashed("words", k) for k in sizes)).alias("found"))
+    spread = arrays.select(*keep, "key", "n_words", F.inline_outer("found"))  # inline would infer a filter that repeats the words for each shingle
     wanted = grams.select("h").distinct().union(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
     matched = materialise(spread.join(bounded(wanted, broadcast_rows), "h"), "decon-matches")
     documents = matched.where("p = -1").select(*keep, "key", F.col("n_words").cast("long").alias("n_words"))
@@ -88,10 +89,10 @@ def verified_windows(docs: DataFrame, items: DataFrame, text: str = "text", item
     again = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text_")).join(bounded(of_text.select("key"), broadcast_rows), "key", "left_semi")
     again = again.dropDuplicates(["key"]).join(of_text, "key").select("key", "tries", alnum_words(F.col("text_")).alias("words"))
     true = F.filter("tries", lambda c: (c["start"] + c["wl"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["wl"]), " ") == c["wkey"]))
-    hits = again.select("key", true.alias("hits"), F.size("words").alias("n")).where("size(hits) > 0")
+    hits = again.select("key", true.alias("hits"), F.size("words").alias("n"))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["wl"] - 1))))
     texts = hits.select("key", F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda c: c["wkey"])).alias("wkeys"))
-    return documents, materialise(texts, "decon-texts"), windows
+    return documents, materialise(texts, "decon-texts").where("n_hit > 0"), windows  # a filter before would repeat the words for each try
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Texts with equal words are one node. Nodes that share a band are candidates;
 instead of all pairs of a bucket, each member is compared with a few centres:
-the least and the greatest node, then the member with most links, then a
-seeded choice, until a round finds no new link. Buckets that then still hold
+the least and the greatest node, then in rounds the member with most links and
+``centres`` seeded ones, until a round joins no more classes. Buckets that then still hold
 several classes and have at most ``small_bucket`` members compare the rest, a
 bounded number of pairs for each member. Every comparison is exact: the size
 of the multiset overlap of the five-word shingles against that of their union,
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
-from .common import materialise, read_table
+from .common import discard, materialise, read_table
 from .decontaminate import BROADCAST_ROWS, bounded, text_key
 
 SHINGLE = 5
@@ -37,6 +37,7 @@ THRESHOLD = 0.8
 BANDS = 42
 ROWS = 6
 SMALL_BUCKET = 64
+CENTRES = 7
 SLICE_BYTES = 1 << 20
 
 
@@ -115,9 +116,19 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = lower.join(labels.select(F.col("node").alias("label"), F.col("label").alias("root")), "label").select("node", F.least("label", "root").alias("label"), "was")
-        labels = materialise(jump, "dup-labels")
+        old, labels = labels, materialise(jump, "dup-labels")
+        discard(old)
         if labels.where("label != was").isEmpty():
-            return labels.select("node", "label")
+            discard(edges)
+            return labels
+
+
+def extend(links: DataFrame, found: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with ``found``, and their classes; the tables these replace go."""
+    more = materialise(links.union(found), "dup-links")
+    for old in (links, found, classes):
+        discard(old)
+    return more, components(more)
 
 
 def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: int, small_bucket: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -135,49 +146,47 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
     tried = materialise(pairs_with(members, F.col("first"), threshold).union(pairs_with(members, F.col("last"), threshold)).distinct(), "dup-pairs")
     links = materialise(verify(tried, sets, threshold), "dup-links")
     classes = components(links)
-    quiet, k = 0, 0
-    while quiet < 2:  # the most linked member first, then seeded ones
-        labelled = members.select("band", "node", "n", "members").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if k == 0:
-            degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count(F.lit(1)).alias("rank"))
-            labelled = labelled.join(degree, "node", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
-        else:
-            labelled = labelled.withColumn("rank", F.xxhash64(F.lit(k), "node"))
-        centre = labelled.groupBy("band").agg(F.max(F.struct("rank", "node", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        open_ = labelled.join(centre.select("band", "c"), "band").where("label != c.label")
+    k = 0
+    while True:
+        labelled = members.select("band", "node", "n", "members").join(classes.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        labelled = labelled.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        ranks = [F.col("degree"), *(F.xxhash64(F.lit(k * CENTRES + i), "node") for i in range(CENTRES))]
+        best = F.array(*(F.max_by(F.struct("node", "n", "label"), F.struct(r.alias("rank"), "node")) for r in ranks))
+        centre = labelled.groupBy("band").agg(best.alias("centres"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        open_ = labelled.join(centre.select("band", F.explode(F.array_distinct("centres")).alias("c")), "band").where("label != c.label")
         fresh = materialise(pairs_with(open_, F.col("c"), threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
         found = materialise(verify(fresh, sets, threshold), "dup-links")
-        quiet, k = (0 if not found.isEmpty() else quiet + 1), k + 1
+        if found.isEmpty():
+            break
+        k += 1
         tried = tried.union(fresh)
-        if quiet == 0:
-            links = materialise(links.union(found), "dup-links")
-            classes = components(links)
+        links, classes = extend(links, found, classes)
 
     # what small buckets have left: at most small_bucket pairs for each member
-    labelled = members.where(F.col("members") <= small_bucket).select("band", "node", "n").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = members.where(F.col("members") <= small_bucket).select("band", "node", "n").join(classes.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     other = labelled.select("band", F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("label").alias("label_"))
     rest = labelled.join(other, (labelled["band"] == other["band"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (F.least("n", "n_") >= threshold * F.greatest("n", "n_")))
     rest = rest.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = materialise(verify(rest, sets, threshold), "dup-links")
     if not found.isEmpty():
-        links = materialise(links.union(found), "dup-links")
-        classes = components(links)
-    return links, classes
+        links, classes = extend(links, found, classes)
+    discard(sets)
+    discard(members)
+    return links, classes.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row: doc_id, tkey (digest of the text), class_id (least id of its class), class_size, n_links (different
-    texts linked to its own), keep (the one row of its class that stays)."""
+    """Per row: doc_id, tkey (digest of the text), class_id (least id of its class), class_size,
+    keep (the one row of its class that stays)."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
     signed = materialise(sign(plain, n_bands, rows, shingle).withColumn("row_id", F.monotonically_increasing_id()), "dup-signed")
-    links, classes = link_nodes(signed, plain, threshold, shingle, small_bucket, broadcast_rows)
-    degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_node = classes.join(degree, "node")
+    _, classes = link_nodes(signed, plain, threshold, shingle, small_bucket, broadcast_rows)
     alone = F.encode(F.concat(F.lit("row "), F.col("row_id").cast("string")), "UTF-8")
-    rows_ = signed.select("row_id", "doc_id", "tkey", "node").join(of_node, "node", "left").withColumn("label", F.coalesce("label", "node", alone))
+    rows_ = signed.select("row_id", "doc_id", "tkey", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node", alone))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
     best = rows_.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    return rows_.join(best, "label").select("doc_id", "tkey", F.col("best.doc_id").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("row_id") == F.col("best.row_id")).alias("keep"))
+    return rows_.join(best, "label").select("doc_id", "tkey", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("best.row_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:

@@ -11,15 +11,13 @@ from ..queries import query, twin
 from ..sources.tables import split_of, table
 from .base_queries import samples, tiles
 
-ONE = F.lit(1)
-
 
 # ---- joins ----
 
 
 @query("join_self_pairs", twin("select tile_id, count(*) as n_pairs from pr group by tile_id"))
 def join_self_pairs(spark, d):
-    return G.pairs(tiles(spark, d)).groupBy("tile_id").agg(F.count(ONE).alias("n_pairs"))
+    return G.pairs(tiles(spark, d)).groupBy("tile_id").agg(F.count("*").alias("n_pairs"))
 
 
 @query("join_unordered_pairs", twin("select tile_id, aid, bid from pr where aid < bid"))
@@ -137,12 +135,12 @@ def join_level_pairs(spark, d):
 @query("agg_grouping_sets", twin("select split, level, query_type, count(*) as n from smp group by grouping sets ((split), (level), (query_type), (split, level), (split, query_type))"))
 def agg_grouping_sets(spark, d):
     s, c = samples(spark, d), [F.col(k) for k in ("split", "level", "query_type")]
-    return s.groupingSets([[c[0]], [c[1]], [c[2]], [c[0], c[1]], [c[0], c[2]]], *c).agg(F.count(ONE).alias("n"))
+    return s.groupingSets([[c[0]], [c[1]], [c[2]], [c[0], c[1]], [c[0], c[2]]], *c).agg(F.count("*").alias("n"))
 
 
 @query("agg_cube", twin("select split, level, count(*) as n, count(distinct query_type) as n_types from smp group by cube (split, level)"))
 def agg_cube(spark, d):
-    return samples(spark, d).cube("split", "level").agg(F.count(ONE).alias("n"), F.countDistinct("query_type").alias("n_types"))
+    return samples(spark, d).cube("split", "level").agg(F.count("*").alias("n"), F.countDistinct("query_type").alias("n_types"))
 
 
 _P = (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)
@@ -151,20 +149,20 @@ _P = (0.01, 0.05, 0.1, 0.5, 0.9, 0.95, 0.99)
 @query("agg_percentiles", twin("select split, count(*) as n, min(area_px) as lo, max(area_px) as hi, avg(area_px) as mean, " + ", ".join(f"quantile_cont(area_px, {p}) as p{round(p * 100)}" for p in _P) + " from comp group by split"))
 def agg_percentiles(spark, d):
     c = tiles(spark, d).withColumn("split", split_of())
-    return c.groupBy("split").agg(F.count(ONE).alias("n"), F.min("area_px").alias("lo"), F.max("area_px").alias("hi"), F.avg("area_px").alias("mean"), *(F.percentile("area_px", p).alias(f"p{round(p * 100)}") for p in _P))
+    return c.groupBy("split").agg(F.count("*").alias("n"), F.min("area_px").alias("lo"), F.max("area_px").alias("hi"), F.avg("area_px").alias("mean"), *(F.percentile("area_px", p).alias(f"p{round(p * 100)}") for p in _P))
 
 
 @query("agg_histogram", twin("select case when n = 1 then '1' when n < 4 then '2-3' when n < 8 then '4-7' else '8+' end as bucket, count(*) as tiles from (select tile_id, count(*) n from comp group by tile_id) group by 1"))
 def agg_histogram(spark, d):
     n = F.col("n")
-    return tiles(spark, d).groupBy("tile_id").agg(F.count(ONE).alias("n")).groupBy(F.when(n == 1, "1").when(n < 4, "2-3").when(n < 8, "4-7").otherwise("8+").alias("bucket")).agg(F.count(ONE).alias("tiles"))
+    return tiles(spark, d).groupBy("tile_id").agg(F.count("*").alias("n")).groupBy(F.when(n == 1, "1").when(n < 4, "2-3").when(n < 8, "4-7").otherwise("8+").alias("bucket")).agg(F.count("*").alias("tiles"))
 
 
 @query("agg_proportions", twin("select query_type, round(count(*) / greatest(sum(count(*)) over (), 1), 6) as share from smp group by query_type"))
 def agg_proportions(spark, d):
-    n = samples(spark, d).groupBy("query_type").agg(F.count(ONE).alias("n"))
+    n = samples(spark, d).groupBy("query_type").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("all"))
-    return n.join(F.broadcast(total)).select("query_type", F.round(F.col("n") / F.greatest(F.col("all"), ONE), 6).alias("share"))  # one row
+    return n.join(F.broadcast(total)).select("query_type", F.round(F.col("n") / F.greatest(F.col("all"), F.lit(1)), 6).alias("share"))  # one row
 
 
 @query("agg_pivot", twin("select relation, count(*) filter (reason is null) as valid, count(*) filter (reason is not null) as other from ext group by relation"))
@@ -187,7 +185,7 @@ def agg_strict_conditional(spark, d):
 
 @query("agg_breakdown", twin("select split, level, count(*) as n, avg(case when trivial then 1.0::double else 0.0::double end) as trivial_rate, count(distinct tile_id) as n_tiles from smp group by split, level"))
 def agg_breakdown(spark, d):
-    return samples(spark, d).groupBy("split", "level").agg(F.count(ONE).alias("n"), F.avg(F.when(F.col("trivial"), 1.0).otherwise(0.0)).alias("trivial_rate"), F.countDistinct("tile_id").alias("n_tiles"))
+    return samples(spark, d).groupBy("split", "level").agg(F.count("*").alias("n"), F.avg(F.when(F.col("trivial"), 1.0).otherwise(0.0)).alias("trivial_rate"), F.countDistinct("tile_id").alias("n_tiles"))
 
 
 @query("agg_geometry_report", twin("select avg(cx) as mean_x, median(cx) as median_x, stddev_pop(cx) as sd_x, avg(cy) as mean_y, median(cy) as median_y, stddev_pop(cy) as sd_y from comp"))
@@ -197,7 +195,7 @@ def agg_geometry_report(spark, d):
 
 @query("agg_language", "select lang, count(*) as n, exp(least(avg(n_chars / 1000.0::double), 50)) as perplexity from documents group by lang")
 def agg_language(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(ONE).alias("n"), F.exp(F.least(F.avg(F.col("n_chars") / 1000.0), F.lit(50))).alias("perplexity"))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.exp(F.least(F.avg(F.col("n_chars") / 1000.0), F.lit(50))).alias("perplexity"))
 
 
 @query("agg_collect_set", "select t as text, string_agg(distinct role, ',' order by role) as roles from (select lower(trim(text)) t, role from conversations) group by t")
@@ -208,13 +206,13 @@ def agg_collect_set(spark, d):
 
 @query("agg_distinct", twin("select split, count(*) as n, count(distinct tile_id) as n_tiles, max(k) as most from (select *, count(*) over (partition by tile_id) k from smp) group by split"))
 def agg_distinct(spark, d):
-    per = samples(spark, d).groupBy("split", "tile_id").agg(F.count(ONE).alias("k"))
-    return per.groupBy("split").agg(F.sum("k").alias("n"), F.count(ONE).alias("n_tiles"), F.max("k").alias("most"))
+    per = samples(spark, d).groupBy("split", "tile_id").agg(F.count("*").alias("k"))
+    return per.groupBy("split").agg(F.sum("k").alias("n"), F.count("*").alias("n_tiles"), F.max("k").alias("most"))
 
 
 @query("agg_seed_stats", twin("select relation, avg(score) as mean, stddev_samp(score) as sd, count(*) as n from siz group by relation"))
 def agg_seed_stats(spark, d):
-    return R.sizes(tiles(spark, d)).groupBy("relation").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.count(ONE).alias("n"))
+    return R.sizes(tiles(spark, d)).groupBy("relation").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n"))
 
 
 @query("agg_failure_buckets", twin("select case when n < 2 then 'single' when reason = 'semantic_ambiguous' then 'margin' when reason is not null then 'flag' else 'fine' end as bucket, which, count(*) as k from sem group by 1, 2"))
@@ -222,13 +220,13 @@ def agg_failure_buckets(spark, d):
     from ..operators.semantic import size_winners
 
     bucket = F.when(F.col("n") < 2, "single").when(F.col("reason") == "semantic_ambiguous", "margin").when(F.col("reason").isNotNull(), "flag").otherwise("fine")
-    return size_winners(tiles(spark, d)).groupBy(bucket.alias("bucket"), "which").agg(F.count(ONE).alias("k"))
+    return size_winners(tiles(spark, d)).groupBy(bucket.alias("bucket"), "which").agg(F.count("*").alias("k"))
 
 
 @query("agg_flag_distribution", twin("select level, count(*) filter (border) as n_border, count(*) filter (tiny) as n_tiny, count(*) as n from smp join comp on comp.tile_id = smp.tile_id and component_id = target group by level"))
 def agg_flag_distribution(spark, d):
     c = tiles(spark, d).select("tile_id", F.col("component_id").alias("target"), "border", "tiny")
-    return samples(spark, d).join(c, ["tile_id", "target"]).groupBy("level").agg(F.count_if("border").alias("n_border"), F.count_if("tiny").alias("n_tiny"), F.count(ONE).alias("n"))
+    return samples(spark, d).join(c, ["tile_id", "target"]).groupBy("level").agg(F.count_if("border").alias("n_border"), F.count_if("tiny").alias("n_tiny"), F.count("*").alias("n"))
 
 
 @query("agg_margin_split", twin("select relation, corr(score, margin) as correlation, avg(margin) filter (reason is null) as valid_margin, avg(margin) filter (reason is not null) as other_margin from siz where margin is not null group by relation"))
@@ -241,7 +239,7 @@ def agg_margin_split(spark, d):
 def agg_nearest_rank(spark, d):
     """The value at index round half even of 0.9 (n - 1): ranks by a window, so no group is gathered."""
     w = Window.partitionBy("event_type")
-    rows = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count(ONE).over(w).alias("n"))
+    rows = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
     return rows.where(F.col("r") == F.bround(0.9 * (F.col("n") - 1)).cast("int") + 1).select("event_type", F.col("value").alias("p90"))
 
 
@@ -261,7 +259,7 @@ def win_rank_multi(spark, d):
 
 @query("win_avg_rank", twin("select tile_id, component_id, rank() over (partition by tile_id order by h) + (count(*) over (partition by tile_id, h) - 1) / 2.0::double as avg_rank from comp"))
 def win_avg_rank(spark, d):
-    ties = F.count(ONE).over(Window.partitionBy("tile_id", "h"))
+    ties = F.count("*").over(Window.partitionBy("tile_id", "h"))
     return tiles(spark, d).select("tile_id", "component_id", (F.rank().over(Window.partitionBy("tile_id").orderBy("h")) + (ties - 1) / 2).alias("avg_rank"))
 
 
@@ -320,7 +318,7 @@ def top_hash_sample(spark, d):
 @query("top_argmax_cell", twin("select tile_id, cell, n from (select *, row_number() over (partition by tile_id order by n desc, cell) r from (select tile_id, cast(floor(cy / 64) * 8 + floor(cx / 64) as bigint) as cell, count(*) n from comp group by 1, 2)) where r = 1"))
 def top_argmax_cell(spark, d):
     cell = (F.floor(F.col("cy") / 64) * 8 + F.floor(F.col("cx") / 64)).alias("cell")
-    cells = tiles(spark, d).groupBy("tile_id", cell).agg(F.count(ONE).alias("n"))
+    cells = tiles(spark, d).groupBy("tile_id", cell).agg(F.count("*").alias("n"))
     return cells.groupBy("tile_id").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"), F.max("n").alias("n"))
 
 
@@ -337,7 +335,7 @@ def setop_union(spark, d):
 @query("setop_union_splits", twin("select split, count(*) as n from comp group by split"))
 def setop_union_splits(spark, d):
     c = tiles(spark, d).withColumn("split", split_of())
-    return c.where("split = 'train'").unionByName(c.where("split = 'val'")).unionByName(c.where("split = 'test'")).groupBy("split").agg(F.count(ONE).alias("n"))
+    return c.where("split = 'train'").unionByName(c.where("split = 'val'")).unionByName(c.where("split = 'test'")).groupBy("split").agg(F.count("*").alias("n"))
 
 
 @query("setop_intersect", twin("select tile_id from smp where level = 1 intersect select tile_id from smp where level = 3"))
@@ -417,7 +415,7 @@ def fn_softmax(spark, d):
 
 @query("fn_entropy", "select event_type, -sum(p * ln(p)) as entropy from (select event_type, k, count(*) / sum(count(*)) over (partition by event_type) as p from (select event_type, user_id % 16 as k from events) group by event_type, k) group by event_type")
 def fn_entropy(spark, d):
-    n = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 16).alias("k")).agg(F.count(ONE).alias("n"))
+    n = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 16).alias("k")).agg(F.count("*").alias("n"))
     # -sum(p ln p) = ln(all) - sum(n ln n) / all
     return n.groupBy("event_type").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"))
 
@@ -430,7 +428,7 @@ def json_props(spark, d):
 
 @query("date_events", "select cast(date_trunc('day', ts) as date) as day, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
 def date_events(spark, d):
-    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(ONE).alias("n"), F.sum("value").alias("total"))
+    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("str_normalize", "select conv_id, turn, trim(regexp_replace(lower(text), '[ \\t\\n]+', ' ', 'g')) as normal from conversations")
@@ -453,22 +451,22 @@ def str_prefix(spark, d):
 
 @query("val_exact_dups", "select md5(text) as digest, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
 def val_exact_dups(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count(ONE).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
 @query("val_leakage", twin("select query_type, count(distinct split) as n_splits, count(*) as n from smp group by query_type"))
 def val_leakage(spark, d):
-    return samples(spark, d).groupBy("query_type").agg(F.countDistinct("split").alias("n_splits"), F.count(ONE).alias("n"))
+    return samples(spark, d).groupBy("query_type").agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n"))
 
 
 @query("val_duplicates", twin("select tile_id, target, count(*) as n from smp group by 1, 2 having count(*) > 1"))
 def val_duplicates(spark, d):
-    return samples(spark, d).groupBy("tile_id", "target").agg(F.count(ONE).alias("n")).where("n > 1")
+    return samples(spark, d).groupBy("tile_id", "target").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("val_report", twin("select level, count(*) as n, count(*) filter (target is null) as n_missing, count(*) filter (reference = target) as n_self from smp group by level"))
 def val_report(spark, d):
-    return samples(spark, d).groupBy("level").agg(F.count(ONE).alias("n"), F.count_if(F.col("target").isNull()).alias("n_missing"), F.count_if(F.col("reference") == F.col("target")).alias("n_self"))
+    return samples(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("n_missing"), F.count_if(F.col("reference") == F.col("target")).alias("n_self"))
 
 
 # ---- metrics ----
@@ -484,7 +482,7 @@ def scored(spark, d):
 @query("met_auroc", f"select (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::double) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auroc from (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as r from {_SCORED})")
 def met_auroc(spark, d):
     """Rank statistic from counts by score: ranks need only the distinct scores in order, not every row."""
-    by = scored(spark, d).groupBy("s").agg(F.count(ONE).alias("n"), F.sum("y").alias("pos"))
+    by = scored(spark, d).groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = by.withColumn("r", below + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
@@ -499,7 +497,7 @@ def met_binary(spark, d):
 
 @query("met_pearson", twin("select corr(w, h) as pearson, count(*) as n from comp"))
 def met_pearson(spark, d):
-    return tiles(spark, d).agg(F.corr("w", "h").alias("pearson"), F.count(ONE).alias("n"))
+    return tiles(spark, d).agg(F.corr("w", "h").alias("pearson"), F.count("*").alias("n"))
 
 
 @query("met_spearman", twin("select split, corr(rw, rh) as spearman from (select split, rank() over (partition by split order by w) + (count(*) over (partition by split, w) - 1) / 2.0::double rw, rank() over (partition by split order by h) + (count(*) over (partition by split, h) - 1) / 2.0::double rh from comp) group by split"))
@@ -507,7 +505,7 @@ def met_spearman(spark, d):
     """Mean ranks from counts by value, joined back: the windows run over distinct values only."""
     c = tiles(spark, d).select(split_of().alias("split"), "w", "h")
     for k in ("w", "h"):
-        n = c.groupBy("split", k).agg(F.count(ONE).alias("n"))
+        n = c.groupBy("split", k).agg(F.count("*").alias("n"))
         below = F.coalesce(F.sum("n").over(Window.partitionBy("split").orderBy(k).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         c = c.join(n.select("split", k, (below + (F.col("n") + 1) / 2).alias(f"r{k}")), ["split", k])
     return c.groupBy("split").agg(F.corr("rw", "rh").alias("spearman"))
@@ -519,7 +517,7 @@ def met_spearman(spark, d):
 @query("vec_stats", "select label, count(*) as n, avg(sqrt(s)) as mean_norm from (select label, list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))) s from embeddings) group by label")
 def vec_stats(spark, d):
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return table(spark, d, "embeddings").select("label", F.sqrt(norm).alias("n_")).groupBy("label").agg(F.count(ONE).alias("n"), F.avg("n_").alias("mean_norm"))
+    return table(spark, d, "embeddings").select("label", F.sqrt(norm).alias("n_")).groupBy("label").agg(F.count("*").alias("n"), F.avg("n_").alias("mean_norm"))
 
 
 @query("vec_prototype", "select label, i as dim, avg(cast(embedding[i] as double)) as mean from embeddings, range(1, 65) t(i) group by 1, 2")

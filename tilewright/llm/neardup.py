@@ -2,8 +2,9 @@
 
 Texts with equal words are one node. Nodes that share a band are candidates;
 instead of all pairs of a bucket, each member is compared with a few centres:
-the least and the greatest node, then in rounds the member with most links and
-``centres`` seeded ones, until a round joins no more classes. Buckets that then still hold
+first with one, the least node of all its buckets, then, while still in another
+class, in rounds with each bucket's member with most links and ``CENTRES``
+seeded ones, until a round joins no more classes. Buckets that then still hold
 several classes and have at most ``small_bucket`` members compare the rest, a
 bounded number of pairs for each member. Every comparison is exact: the size
 of the multiset overlap of the five-word shingles against that of their union,
@@ -136,14 +137,15 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("tkey").alias("tkey"))
     nodes = materialise(nodes, "dup-nodes")
     spread = nodes.select("node", "n", F.explode("bands").alias("band")).repartition("band")
-    buckets = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last")).where("members > 1")
+    buckets = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
     members = materialise(spread.join(buckets, "band"), "dup-members")
 
     wanted = bounded(members.select("node").distinct().join(nodes, "node").select("tkey", "node"), broadcast_rows)
     texts = docs.select("tkey", "text").join(wanted, "tkey").dropDuplicates(["node"]).select("node", "text")
     sets = materialise(unit_sets(texts, shingle), "dup-sets")
 
-    tried = materialise(pairs_with(members, F.col("first"), threshold).union(pairs_with(members, F.col("last"), threshold)).distinct(), "dup-pairs")
+    nearest = members.where("node != first.node").where(F.least("n", "first.n") >= threshold * F.greatest("n", "first.n")).groupBy("node").agg(F.min("first.node").alias("c"))
+    tried = materialise(nearest.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "dup-pairs")
     links = materialise(verify(tried, sets, threshold), "dup-links")
     classes = components(links)
     k = 0

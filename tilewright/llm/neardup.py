@@ -5,11 +5,13 @@ instead of all pairs of a bucket, each member is compared with a few centres:
 first with one, the least node of all its buckets, then, while still in another
 class, in rounds with each bucket's member with most links and ``CENTRES``
 seeded ones, until a round joins no more classes. Buckets that then still hold
-several classes and have at most ``small_bucket`` members compare the rest, a
-bounded number of pairs for each member. Every comparison is exact: the size
+several classes compare the rest: those of at most ``small_bucket`` members a
+bounded number of pairs for each member, larger ones in rounds of centres until
+each member outside the largest class has been one, so no bucket is capped. Every comparison is exact: the size
 of the multiset overlap of the five-word shingles against that of their union,
-at least ``threshold``. Links make classes by propagating least labels with
-pointer jumping; every step is a join or aggregation on written tables.
+at least ``threshold``. Links make classes by contraction with pointer jumping;
+a round links whole classes, not their members again. Every step is a join or
+aggregation on written tables.
 
 Defined cases: a null text is a class of its own row; wordless texts are equal
 only if their bytes are; a text of fewer than five words is one shingle; ties
@@ -109,31 +111,55 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("both") >= threshold * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def rooted(parents: DataFrame) -> DataFrame:
+    """(node, label) with each node's last parent, by pointer jumping over (node, label)."""
+    now = materialise(parents, "dup-roots")
+    while True:
+        jump = now.join(now.select(F.col("node").alias("label"), F.col("label").alias("root")), "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved"))
+        old, now = now, materialise(jump, "dup-roots")
+        discard(old)
+        if now.where("moved").isEmpty():
+            return now
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node of each linked node's class."""
+    """(node, label): a node of each linked node's class, by contraction.
+
+    In each round every node hangs below its least neighbour, trees become single
+    nodes and links inside them go, so that the graph at least halves.
+    """
     edges = materialise(links.union(links.select("b", "a")).distinct().toDF("node", "other"), "dup-edges")
-    labels = materialise(edges.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")), "dup-labels")
+    classes = None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = lower.join(labels.select(F.col("node").alias("label"), F.col("label").alias("root")), "label").select("node", F.least("label", "root").alias("label"), "was")
-        old, labels = labels, materialise(jump, "dup-labels")
-        discard(old)
-        if labels.where("label != was").isEmpty():
+        roots = rooted(edges.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
+        root = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        old = classes
+        classes = roots if old is None else materialise(old.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "dup-labels")
+        both = edges.join(roots.select("node", "label"), "node").join(root.toDF("other", "root"), "other")
+        rest = materialise(both.where("label != root").select(F.col("label").alias("node"), F.col("root").alias("other")).distinct(), "dup-edges")
+        discard(edges)
+        if old is not None:
+            discard(old)
+            discard(roots)
+        edges = rest
+        if edges.isEmpty():
             discard(edges)
-            return labels
+            return classes
 
 
-def extend(links: DataFrame, found: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links with ``found``, and their classes; the tables these replace go."""
-    more = materialise(links.union(found), "dup-links")
-    for old in (links, found, classes):
-        discard(old)
-    return more, components(more)
+def extend(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes (node, label) after the links ``found`` between some of their nodes; the old table goes."""
+    of = lambda k: classes.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+    between = found.join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    root = components(between)
+    more = materialise(classes.join(root.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "dup-labels")
+    discard(classes)
+    discard(root)
+    return more
 
 
-def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: int, small_bucket: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between different nodes, and the classes (node, label) they make."""
+def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: int, small_bucket: int, broadcast_rows: int) -> DataFrame:
+    """The classes (node, label) that verified links between different nodes make."""
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("tkey").alias("tkey"))
     nodes = materialise(nodes, "dup-nodes")
     spread = nodes.select("node", "n", F.explode("bands").alias("band")).repartition("band")
@@ -147,10 +173,10 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
     nearest = members.where("node != first.node").where(F.least("n", "first.n") >= threshold * F.greatest("n", "first.n")).groupBy("node").agg(F.min("first.node").alias("c"))
     tried = materialise(nearest.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "dup-pairs")
     links = materialise(verify(tried, sets, threshold), "dup-links")
-    classes = components(links)
+    classes = extend(materialise(sets.select("node", F.col("node").alias("label")), "dup-labels"), links)
     k = 0
     while True:
-        labelled = members.select("band", "node", "n", "members").join(classes.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = members.select("band", "node", "n", "members").join(classes, "node")
         degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         labelled = labelled.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         ranks = [F.col("degree"), *(F.xxhash64(F.lit(k * CENTRES + i), "node") for i in range(CENTRES))]
@@ -162,20 +188,41 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
         if found.isEmpty():
             break
         k += 1
+        tried, links = tried.union(fresh), links.union(found)
+        classes = extend(classes, found)
+
+    # larger buckets: every member outside the bucket's largest class becomes a centre once
+    large = members.where(F.col("members") > small_bucket).select("band", "node", "n")
+    spent = None
+    while True:
+        labelled = large.join(classes, "node")
+        sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+        top = sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        waiting = labelled.join(top, "band").where("label != top")
+        waiting = waiting if spent is None else waiting.join(spent, ["band", "node"], "left_anti")
+        best = F.array(*(F.max_by(F.struct("node", "n", "label"), F.struct(F.xxhash64(F.lit(i), "node").alias("rank"), "node")) for i in range(CENTRES)))
+        centre = materialise(waiting.groupBy("band").agg(best.alias("centres")).select("band", F.explode(F.array_distinct("centres")).alias("c")), "dup-centres")
+        if centre.isEmpty():
+            break
+        fresh = materialise(pairs_with(labelled.join(centre, "band").where("label != c.label"), F.col("c"), threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
+        found = materialise(verify(fresh, sets, threshold), "dup-links")
         tried = tried.union(fresh)
-        links, classes = extend(links, found, classes)
+        now = centre.select("band", F.col("c.node").alias("node"))
+        spent = now if spent is None else spent.union(now)
+        if not found.isEmpty():
+            classes = extend(classes, found)
 
-    # what small buckets have left: at most small_bucket pairs for each member
-    labelled = members.where(F.col("members") <= small_bucket).select("band", "node", "n").join(classes.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # small buckets: at most small_bucket pairs for each member
+    labelled = members.where(F.col("members") <= small_bucket).select("band", "node", "n").join(classes, "node")
     other = labelled.select("band", F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("label").alias("label_"))
     rest = labelled.join(other, (labelled["band"] == other["band"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (F.least("n", "n_") >= threshold * F.greatest("n", "n_")))
     rest = rest.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = materialise(verify(rest, sets, threshold), "dup-links")
     if not found.isEmpty():
-        links, classes = extend(links, found, classes)
+        classes = extend(classes, found)
     discard(sets)
     discard(members)
-    return links, classes.select("node", "label")
+    return classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -183,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep (the one row of its class that stays)."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
     signed = materialise(sign(plain, n_bands, rows, shingle).withColumn("row_id", F.monotonically_increasing_id()), "dup-signed")
-    _, classes = link_nodes(signed, plain, threshold, shingle, small_bucket, broadcast_rows)
+    classes = link_nodes(signed, plain, threshold, shingle, small_bucket, broadcast_rows)
     alone = F.encode(F.concat(F.lit("row "), F.col("row_id").cast("string")), "UTF-8")
     rows_ = signed.select("row_id", "doc_id", "tkey", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node", alone))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")

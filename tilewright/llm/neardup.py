@@ -6,9 +6,9 @@ first with one, the least node of all its buckets, then, while still in another
 class, in rounds with each bucket's member with most links and ``CENTRES``
 seeded ones, until a round joins no more classes. Buckets that then still hold
 several classes compare the rest: those of at most ``small_bucket`` members a
-bounded number of pairs for each member, larger ones in rounds of centres until
-each member outside the largest class has been one, so no bucket is capped. Every comparison is exact: the size
-of the multiset overlap of the five-word shingles against that of their union,
+bounded number of pairs for each member, larger ones in rounds of as many centres,
+until each member outside the largest class has been one: no bucket is capped.
+Every comparison is exact: the size of the multiset overlap of the five-word shingles against that of their union,
 at least ``threshold``. Links make classes by contraction with pointer jumping;
 a round links whole classes, not their members again. Every step is a join or
 aggregation on written tables.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
@@ -200,8 +200,8 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
         top = sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         waiting = labelled.join(top, "band").where("label != top")
         waiting = waiting if spent is None else waiting.join(spent, ["band", "node"], "left_anti")
-        best = F.array(*(F.max_by(F.struct("node", "n", "label"), F.struct(F.xxhash64(F.lit(i), "node").alias("rank"), "node")) for i in range(CENTRES)))
-        centre = materialise(waiting.groupBy("band").agg(best.alias("centres")).select("band", F.explode(F.array_distinct("centres")).alias("c")), "dup-centres")
+        turn = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+        centre = materialise(waiting.select("band", F.struct("node", "n", "label").alias("c"), turn.alias("turn")).where(F.col("turn") <= small_bucket).select("band", "c"), "dup-centres")
         if centre.isEmpty():
             break
         fresh = materialise(pairs_with(labelled.join(centre, "band").where("label != c.label"), F.col("c"), threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")

@@ -299,9 +299,9 @@ def vec_pairwise(spark, d):
     return by.groupBy("label").agg(((F.sum(C("s") * C("s")) - n) / (n * (n - 1))).alias("mean_cosine"), n.alias("n")).where("n > 1").select("label", "mean_cosine")
 
 
-@query("vec_dist_corr", f"select corr(sqrt({_NORM}), cast(label as double)) as correlation, count(*) as n from embeddings")
+@query("vec_dist_corr", f"select round(corr(sqrt({_NORM}), cast(label as double)), 6) as correlation, count(*) as n from embeddings")
 def vec_dist_corr(spark, d):
-    return table(spark, d, "embeddings").agg(F.corr(F.sqrt(dot("embedding", "embedding")), C("label").cast("double")).alias("correlation"), F.count("*").alias("n"))
+    return table(spark, d, "embeddings").agg(F.round(F.corr(F.sqrt(dot("embedding", "embedding")), C("label").cast("double")), 6).alias("correlation"), F.count("*").alias("n"))
 
 
 # ---- large images: an image of 4 x 4 neighbouring tiles ----

@@ -4,10 +4,11 @@ Texts with equal words are one node. Nodes that share a band are candidates;
 instead of all pairs of a bucket, each member is compared with a few centres:
 first with one, the least node of all its buckets, then, while still in another
 class, in rounds with each bucket's member with most links and ``CENTRES``
-seeded ones, until a round joins no more classes. Buckets that then still hold
-several classes compare the rest: those of at most ``small_bucket`` members a
-bounded number of pairs for each member, larger ones in rounds of as many centres,
-until each member outside the largest class has been one: no bucket is capped.
+seeded ones, until fewer than ``ROUND_YIELD`` of a round's pairs are links. Buckets
+that then still hold several classes compare the rest: those of at most
+``small_bucket`` members a bounded number of pairs for each member, larger ones
+all pairs that share one of their rarest shingles early enough, which no pair above
+the threshold can do without: no bucket is capped and no candidate is lost.
 Every comparison is exact: the size of the multiset overlap of the five-word shingles against that of their union,
 at least ``threshold``. Links make classes by contraction with pointer jumping;
 a round links whole classes, not their members again. Every step is a join or
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
@@ -40,7 +41,9 @@ THRESHOLD = 0.8
 BANDS = 42
 ROWS = 6
 SMALL_BUCKET = 64
-CENTRES = 7
+CENTRES = 1
+ROUND_YIELD = 0.01
+ROUNDING = 1e-9
 SLICE_BYTES = 1 << 20
 
 
@@ -103,6 +106,31 @@ def pairs_with(members: DataFrame, centre: Column, threshold: float) -> DataFram
     return c.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
+def rare_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different classes among (node, n, label) that can reach the threshold.
+
+    Shingles are ordered by the number of these nodes that have them. A pair that
+    overlaps enough has its first common shingle within either's prefix, with
+    enough shingles left behind it. Members of a shingle's largest class are not
+    compared with each other.
+    """
+    each = nodes.join(sets, "node").select("node", "n", "label", F.explode("units").alias("unit"))
+    counts = materialise(each.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dup-counts")
+    sorted_ = each.join(counts, "unit").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("k", "unit"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")  # shingles of no other node come first
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - ROUNDING) + 1
+    prefix = sorted_.withColumn("alone", alone).withColumn("units", F.slice("shared.unit", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")))
+    prefix = prefix.select("node", "n", "label", "alone", F.posexplode("units").alias("at", "unit")).withColumn("left", F.col("n") - F.col("alone") - F.col("at"))
+    prefix = materialise(prefix.select("unit", "node", "n", "label", "left"), "dup-prefixes")
+    sizes = prefix.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k"))
+    top = sizes.groupBy("unit").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    one = materialise(prefix.join(top.select("unit", "top"), "unit").where("label != top").select("unit", "node", "n", "label", "left"), "dup-waiting")
+    two = prefix.select("unit", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "left")))
+    enough = F.least("left", "left_") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_")) - ROUNDING
+    both = one.join(two, (one["unit"] == two["unit"]) & (F.col("label") != F.col("label_")) & enough)
+    return both.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose multisets overlap enough."""
     left = sets.select(F.col("node").alias("a"), F.col("units").alias("ua"))
@@ -190,27 +218,20 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
         k += 1
         tried, links = tried.union(fresh), links.union(found)
         classes = extend(classes, found)
-
-    # larger buckets: every member outside the bucket's largest class becomes a centre once
-    large = members.where(F.col("members") > small_bucket).select("band", "node", "n")
-    spent = None
-    while True:
-        labelled = large.join(classes, "node")
-        sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-        top = sizes.groupBy("band").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        waiting = labelled.join(top, "band").where("label != top")
-        waiting = waiting if spent is None else waiting.join(spent, ["band", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        centre = materialise(waiting.select("band", F.struct("node", "n", "label").alias("c"), turn.alias("turn")).where(F.col("turn") <= small_bucket).select("band", "c"), "dup-centres")
-        if centre.isEmpty():
+        if found.count() < ROUND_YIELD * fresh.count():
             break
-        fresh = materialise(pairs_with(labelled.join(centre, "band").where("label != c.label"), F.col("c"), threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
+
+    # larger buckets: pairs of different classes that share a rare shingle, as all pairs above the threshold do
+    large = members.where(F.col("members") > small_bucket).select("band", "node", "n").join(classes, "node")
+    several = large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
+    open_ = materialise(large.join(several, "band").select("node", "n", "label").distinct(), "dup-open")
+    if not open_.isEmpty():
+        fresh = materialise(rare_pairs(open_, sets, threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
         found = materialise(verify(fresh, sets, threshold), "dup-links")
         tried = tried.union(fresh)
-        now = centre.select("band", F.col("c.node").alias("node"))
-        spent = now if spent is None else spent.union(now)
         if not found.isEmpty():
             classes = extend(classes, found)
+    discard(open_)
 
     # small buckets: at most small_bucket pairs for each member
     labelled = members.where(F.col("members") <= small_bucket).select("band", "node", "n").join(classes, "node")

@@ -3,8 +3,8 @@
 Texts with equal words are one node. Nodes that share a band are candidates;
 instead of all pairs of a bucket, each member is compared with a few centres:
 first with one, the least node of all its buckets, then, while still in another
-class, in rounds with each bucket's member with most links and ``CENTRES``
-seeded ones, until fewer than ``ROUND_YIELD`` of a round's pairs are links. Buckets
+class, in rounds with one centre of each bucket, by turns the member with most
+links and a seeded one, until fewer than ``ROUND_YIELD`` of a round's pairs are links. Buckets
 that then still hold several classes compare the rest: those of at most
 ``small_bucket`` members a bounded number of pairs for each member, larger ones
 all pairs that share one of their rarest shingles early enough, which no pair above
@@ -41,7 +41,6 @@ THRESHOLD = 0.8
 BANDS = 42
 ROWS = 6
 SMALL_BUCKET = 64
-CENTRES = 1
 ROUND_YIELD = 0.01
 ROUNDING = 1e-9
 SLICE_BYTES = 1 << 20
@@ -207,10 +206,9 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
         labelled = members.select("band", "node", "n", "members").join(classes, "node")
         degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         labelled = labelled.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        ranks = [F.col("degree"), *(F.xxhash64(F.lit(k * CENTRES + i), "node") for i in range(CENTRES))]
-        best = F.array(*(F.max_by(F.struct("node", "n", "label"), F.struct(r.alias("rank"), "node")) for r in ranks))
-        centre = labelled.groupBy("band").agg(best.alias("centres"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        open_ = labelled.join(centre.select("band", F.explode(F.array_distinct("centres")).alias("c")), "band").where("label != c.label")
+        rank = F.col("degree") if k % 2 == 0 else F.xxhash64(F.lit(k), "node")
+        centre = labelled.groupBy("band").agg(F.max_by(F.struct("node", "n", "label"), F.struct(rank.alias("rank"), "node")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        open_ = labelled.join(centre.select("band", "c"), "band").where("label != c.label")
         fresh = materialise(pairs_with(open_, F.col("c"), threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
         found = materialise(verify(fresh, sets, threshold), "dup-links")
         if found.isEmpty():

@@ -177,6 +177,28 @@ def test_lm_base_score(spark, odd, none):
     assert lm.score_documents(empty, empty["train"], ("doc_id",)).count() == 0
 
 
+def shards_of(monkeypatch, docs, **options):
+    """(row, shard, words) of what the network is trained on, and the number of shards."""
+
+    class Dealt(Exception):
+        pass
+
+    def stop(dealt, vocabulary, rounds, n_shards):
+        raise Dealt([tuple(r) for r in dealt.selectExpr("k0", "shard", "size(split(text, ' '))").collect()], n_shards)
+
+    monkeypatch.setattr(lm, "train_rounds", stop)
+    with pytest.raises(Dealt) as found:
+        lm.score_documents(docs, docs["train"], ("doc_id",), **options)
+    return found.value.args
+
+
+def test_lm_trains_on_every_training_document(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat(id, repeat(' word', 999)) as text", "id % 7 != 2 as train")
+    rows, n_shards = shards_of(monkeypatch, docs)
+    assert sorted(r[0] for r in rows) == [i for i in range(2000) if i % 7 != 2]
+    assert n_shards == math.ceil(len(rows) * 1001 / lm.SHARD_TOKENS)
+
+
 # ---- chat ----
 
 

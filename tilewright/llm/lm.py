@@ -10,9 +10,8 @@ class and, for frequent words, the word in it.
 Training is data-parallel: documents are dealt to shards of about
 ``shard_tokens`` tokens, each shard runs truncated backpropagation in numpy from
 the same weights, and the weights are averaged in a tree of small groups, for
-``rounds`` rounds. Its input is a hash sample of ``sample`` of the training
-documents, or enough for ``least_tokens`` tokens where that is more, so it
-grows with the corpus. All documents are scored whole, state carried across
+``rounds`` rounds. Every training document is trained on in every round,
+whatever the size of the corpus. All documents are scored whole, state carried across
 windows; words outside the ``lookup`` most frequent ones meet their counts in a
 join, so the full vocabulary is never broadcast or collected.
 
@@ -34,15 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ascii_lower, held_out, materialise, read_table
+from .common import ascii_lower, discard, held_out, materialise, read_table
 
 WORDS = 2047
 CLASSES = 32
 N_TAILS = 32
 HIDDEN = 32
 LOOKUP = 200_000
-SAMPLE = 1 / 32
-LEAST_TOKENS = 1_000_000
 SHARD_TOKENS = 400_000
 ROUNDS = 3
 FAN = 32
@@ -134,16 +131,18 @@ def average(parts: DataFrame, fan: int = FAN) -> DataFrame:
 
     while parts.select("shard").distinct().count() > 1:
         grouped = parts.withColumn("shard", F.floor(F.col("shard") / fan).cast("int"))
-        parts = materialise(grouped.groupBy("shard", "block").applyInArrow(mean, parts.schema), "lm-mean")
+        merged = materialise(grouped.groupBy("shard", "block").applyInArrow(mean, parts.schema), "lm-mean")
+        discard(parts)
+        parts = merged
     return parts.select("block", "part")
 
 
-def train_rounds(sampled: DataFrame, vocabulary: Vocabulary, rounds: int, n_shards: int) -> dict[str, np.ndarray]:
+def train_rounds(dealt: DataFrame, vocabulary: Vocabulary, rounds: int, n_shards: int) -> dict[str, np.ndarray]:
     """Weights after ``rounds`` rounds of training on each shard of (shard, text) and averaging."""
     shape = vocabulary.shape
     p = gru.initial(shape, vocabulary.start_counts)
     names = sorted(p)
-    lines = materialise(encode_sample(sampled, vocabulary), "lm-sample")
+    lines = materialise(encode_texts(dealt, vocabulary), "lm-lines")
 
     def learner(now, rate):
         def learn(group):
@@ -165,20 +164,22 @@ def train_rounds(sampled: DataFrame, vocabulary: Vocabulary, rounds: int, n_shar
         flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in found])
         ends = np.cumsum([p[n].size for n in names])
         p = {n: flat[e - p[n].size : e].reshape(p[n].shape).copy() for n, e in zip(names, ends, strict=True)}
+        discard(learned)
+    discard(lines)
     return p
 
 
-def encode_sample(sampled: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encode_texts(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lengths, _, _ = vocabulary.encode(batch.column(2))
             ends = np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())], ["shard", "rank", "ids"])
 
-    return sampled.select("shard", "rank", "text").mapInArrow(run, "shard int, rank long, ids binary")
+    return dealt.select("shard", "rank", "text").mapInArrow(run, "shard int, rank long, ids binary")
 
 
-def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (), text: str = "text", seed: int = 5, sample: float = SAMPLE, least_tokens: int = LEAST_TOKENS, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, lookup: int = LOOKUP, words: int = WORDS, classes: int = CLASSES, n_tails: int = N_TAILS, hidden: int = HIDDEN) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (), text: str = "text", seed: int = 5, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, lookup: int = LOOKUP, words: int = WORDS, classes: int = CLASSES, n_tails: int = N_TAILS, hidden: int = HIDDEN) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score and score of every document, learning from those where ``train``."""
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, train.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -193,11 +194,10 @@ def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (),
     top = counts.orderBy(F.col("c").desc(), "word").limit(lookup).toArrow()  # lookup rows at most
     vocabulary = Vocabulary(top["word"].combine_chunks().cast(pa.string()) if len(top) else pa.array([], pa.string()), top["c"].to_numpy().astype(np.int64), n_docs, tail_sums, total, distinct, words, classes, n_tails, hidden)
 
-    share = min(1.0, max(sample, least_tokens / max(total, 1)))
-    n_shards = max(1, math.ceil(total * share / shard_tokens))
+    n_shards = max(1, math.ceil(total / shard_tokens))
     ranked = learn.withColumn("rank", F.xxhash64(F.lit(seed), "text"))
-    sampled = ranked.where(F.pmod("rank", F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "rank", F.monotonically_increasing_id()), F.lit(n_shards)).cast("int"))
-    weights = train_rounds(sampled, vocabulary, rounds, n_shards)
+    dealt = ranked.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "rank", F.monotonically_increasing_id()), F.lit(n_shards)).cast("int"))
+    weights = train_rounds(dealt, vocabulary, rounds, n_shards)
 
     log_end = math.log10(((n_docs or 0) + 1) / (total + distinct + 1))
     out = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]

@@ -141,6 +141,21 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_documents(docs, block=16).columns == docs.columns
 
 
+@pytest.mark.parametrize(("small", "large"), [((300, 10), (60, 1000)), ((1000, 10), (200, 10)), ((500, 7), (30, 60))])
+@pytest.mark.parametrize("least_blocks", [256, 0.01])
+def test_mixing_reaches_targets_over_many_shards(spark, monkeypatch, small, large, least_blocks):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", least_blocks, raising=False)
+    rows = [(i, "w " * n, s) for s, (k, n) in (("a", small), ("b", large)) for i in range(k)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", source string")
+    got = mixing.mix_plan(docs, keep=("source",), shard_words=100).collect()
+    for s in ("a", "b"):
+        of = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 128
+        assert all(0 <= r.taken <= 3 * r["size"] for r in of)
+        if least_blocks > 1:  # passes are spread evenly
+            assert max(r.epochs for r in of) - min(r.epochs for r in of) <= 1
+
+
 # ---- language model ----
 
 

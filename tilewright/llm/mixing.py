@@ -3,13 +3,15 @@
 Targets: sources share all words by weight; a target stops at ``epochs`` times
 its source's size and the excess is shared again by weight. The mix is then
 made of equal blocks of words. The blocks go to sources by highest quotients
-target / (2 seats + 1), and each source's blocks go to its shards the same way,
-so every shard has an integer quota. In a shard the documents of a source lie
-in seeded order on one line that is cut into blocks; the quota takes whole
+target / (2 seats + 1), and each source's blocks go to its shards the same way.
+A shard takes no more than ``epochs`` passes; what is then left of a block goes
+to the shards next in line, so the source as a whole takes all of its blocks. In a shard the documents of a
+source lie in seeded order on one line that is cut into blocks; the quota takes whole
 passes over the line and for the rest the first blocks in a seeded order.
 
 Documents are dealt to shards of about ``shard_words`` words by hash, so a hot
-source is split over all shards, and texts are read once and never shuffled.
+source is split over all shards, and a small one over as many as leave each
+``LEAST_BLOCKS`` blocks of it, and texts are read once and never shuffled.
 The driver sees one row per source only (``max_sources`` at most). Quotas
 within a source are found with one window over its shard summaries.
 
@@ -31,6 +33,7 @@ from .common import SPACE_WORD, materialise, read_table, space_word_count
 
 BLOCK = 128
 SHARD_WORDS = 2_000_000
+LEAST_BLOCKS = 256
 EPOCHS = 3
 MAX_SOURCES = 100_000
 SEED = 20240601
@@ -90,21 +93,23 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     seats = sainte_lague(aims, round(total / block))
     shards = max(1, math.ceil(total / shard_words))
     kind = docs.schema[source].dataType.simpleString()
-    by_source = F.broadcast(spark.createDataFrame([(r.source_, i, n, a, q) for i, (r, n, a, q) in enumerate(zip(found, sizes, aims, seats, strict=True))], f"source_ {kind}, src int, source_size long, target double, seats long"))  # max_sources rows at most
+    by_source = F.broadcast(spark.createDataFrame([(r.source_, i, n, a, q, min(shards, max(1, int(n // (LEAST_BLOCKS * block))))) for i, (r, n, a, q) in enumerate(zip(found, sizes, aims, seats, strict=True))], f"source_ {kind}, src int, source_size long, target double, seats long, shards int"))  # max_sources rows at most
 
     dealt = sized.join(by_source, sized["source_"].eqNullSafe(by_source["source_"])).drop("source_", "seats")
-    dealt = dealt.withColumn("order_", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order_"), F.lit(shards)).cast("int"))
+    dealt = dealt.withColumn("order_", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order_"), F.col("shards")).cast("int")).drop("shards")
 
-    # integer quotas of each source's shards
+    # words of each source's shards, block by block
     shard_sizes = dealt.where("size > 0").groupBy("src", "shard").agg(F.sum("size").alias("n"))
     of_source = Window.partitionBy("src")
     votes = shard_sizes.join(by_source.select("src", "source_size", "seats"), "src").withColumn("m", F.count(F.lit(1)).over(of_source))
-    votes = votes.withColumn("low", F.greatest(F.lit(0), F.floor(F.col("n") * (F.col("seats") - F.col("m") / 2) / F.col("source_size") - 0.5)))
+    votes = votes.withColumn("low", F.greatest(F.lit(0), F.least(F.floor(F.col("n") * (F.col("seats") - F.col("m") / 2) / F.col("source_size") - 0.5), F.floor(F.col("n") * epochs / block))))
     votes = votes.withColumn("high", F.floor(F.col("n") * (F.col("seats") + F.col("m") / 2) / F.col("source_size") + 0.5) + 1)
-    seat = votes.withColumn("rest", F.col("seats") - F.sum("low").over(of_source)).withColumn("seat", F.explode(F.sequence(F.col("low"), F.col("high"))))
-    seat = seat.withColumn("rank", F.row_number().over(of_source.orderBy((F.col("n") / (2 * F.col("seat") + 1)).desc(), "shard", "seat")))
-    quota = seat.groupBy("src", "shard").agg(F.first("n").alias("n"), (F.first("low") + F.count_if(F.col("rank") <= F.col("rest"))).alias("quota"))
-    quota = quota.withColumn("words", F.least(F.col("quota") * block, F.col("n") * epochs)).withColumn("epochs", F.floor(F.col("words") / F.col("n")))
+    seat = votes.withColumn("left", (F.col("seats") - F.sum("low").over(of_source)) * block).withColumn("seat", F.explode(F.sequence(F.col("low"), F.col("high"))))
+    seat = seat.withColumn("give", F.greatest(F.lit(0), F.least(F.lit(block), F.col("n") * epochs - F.col("seat") * block)))
+    in_line = of_source.orderBy((F.col("n") / (2 * F.col("seat") + 1)).desc(), "shard", "seat").rowsBetween(Window.unboundedPreceding, 0)
+    seat = seat.withColumn("more", F.greatest(F.lit(0), F.least(F.col("give"), F.col("left") - F.sum("give").over(in_line) + F.col("give"))))
+    quota = seat.groupBy("src", "shard").agg(F.first("n").alias("n"), (F.first("low") * block + F.sum("more")).alias("words"))
+    quota = quota.withColumn("epochs", F.floor(F.col("words") / F.col("n")))
 
     # blocks of the rest, in seeded order
     blocks = quota.withColumn("rest", F.col("words") - F.col("epochs") * F.col("n")).where("rest > 0")

@@ -214,6 +214,16 @@ def test_lm_trains_on_every_training_document(spark, monkeypatch):
     assert n_shards == math.ceil(len(rows) * 1001 / lm.SHARD_TOKENS)
 
 
+def test_lm_deals_copies_to_all_shards(spark, monkeypatch):
+    text = "case when id % 3 = 0 then repeat('copy ', 299) || 'copy' when id % 3 = 1 then concat(id, repeat(' word', 299)) end as text"
+    docs = spark.range(9000).selectExpr("id as doc_id", text, "true as train")
+    rows, n_shards = shards_of(monkeypatch, docs, shard_tokens=50_000)
+    assert n_shards == math.ceil((6000 * 301 + 3000) / 50_000)
+    for k in range(3):  # copies, other texts, null texts
+        sizes = np.bincount([r[1] for r in rows if r[0] % 3 == k], minlength=n_shards)
+        assert sizes.sum() == 3000 and sizes.max() < 2 * 3000 / n_shards
+
+
 # ---- chat ----
 
 

@@ -7,8 +7,8 @@ class, in rounds with one centre of each bucket, by turns the member with most
 links and a seeded one, until fewer than ``ROUND_YIELD`` of a round's pairs are links. Buckets
 that then still hold several classes compare the rest: those of at most
 ``small_bucket`` members a bounded number of pairs for each member, larger ones
-all pairs that share one of their rarest shingles early enough, which no pair above
-the threshold can do without: no bucket is capped and no candidate is lost.
+all pairs that meet in a prefix of their shingles, rare ones first, which no pair
+above the threshold can do without: no bucket is capped and no candidate is lost.
 Every comparison is exact: the size of the multiset overlap of the five-word shingles against that of their union,
 at least ``threshold``. Links make classes by contraction with pointer jumping;
 a round links whole classes, not their members again. Every step is a join or
@@ -17,8 +17,9 @@ aggregation on written tables.
 Defined cases: a null text is a class of its own row; wordless texts are equal
 only if their bytes are; a text of fewer than five words is one shingle; ties
 for the representative go to the least id, then the first row (null ids last);
-repeated rows are copies; an empty table gives no rows; extra columns are
-ignored.
+repeated rows are copies; very long texts are read in slices of one text each,
+and a pair's shingles meet in one row; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ BANDS = 42
 ROWS = 6
 SMALL_BUCKET = 64
 ROUND_YIELD = 0.01
+#: Members of a large bucket whose shingles order those of all.
+SAMPLE = 256
 ROUNDING = 1e-9
 SLICE_BYTES = 1 << 20
 
@@ -105,29 +108,56 @@ def pairs_with(members: DataFrame, centre: Column, threshold: float) -> DataFram
     return c.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different classes among (node, n, label) that can reach the threshold.
+def hubs_of(large: DataFrame, passes: int = 2) -> DataFrame:
+    """(band, hub): for each bucket of (band, node, degree) a node with many links, in or near it.
 
-    Shingles are ordered by the number of these nodes that have them. A pair that
-    overlaps enough has its first common shingle within either's prefix, with
-    enough shingles left behind it. Members of a shingle's largest class are not
-    compared with each other.
+    Buckets first name their member with most links, then twice the best that one of
+    their members has from any of its buckets, so that overlapping buckets agree on few.
     """
-    each = nodes.join(sets, "node").select("node", "n", "label", F.explode("units").alias("unit"))
-    counts = materialise(each.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dup-counts")
-    sorted_ = each.join(counts, "unit").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("k", "unit"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")  # shingles of no other node come first
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - ROUNDING) + 1
-    prefix = sorted_.withColumn("alone", alone).withColumn("units", F.slice("shared.unit", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")))
-    prefix = prefix.select("node", "n", "label", "alone", F.posexplode("units").alias("at", "unit")).withColumn("left", F.col("n") - F.col("alone") - F.col("at"))
-    prefix = materialise(prefix.select("unit", "node", "n", "label", "left"), "dup-prefixes")
-    sizes = prefix.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("k"))
-    top = sizes.groupBy("unit").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    one = materialise(prefix.join(top.select("unit", "top"), "unit").where("label != top").select("unit", "node", "n", "label", "left"), "dup-waiting")
-    two = prefix.select("unit", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "left")))
+    hubs = large.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    for _ in range(passes):
+        of_node = large.join(hubs, "band").groupBy("node").agg(F.max("hub").alias("hub"))
+        hubs = large.select("band", "node").join(of_node, "node").groupBy("band").agg(F.max("hub").alias("hub"))
+    return materialise(hubs.select("band", F.col("hub.node").alias("hub")), "dup-hubs")
+
+
+def prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float, sample: int = SAMPLE) -> DataFrame:
+    """Distinct pairs (a, b) of different classes in a bucket of (band, node, n, label, degree) that can reach the threshold.
+
+    The members of each hub's buckets order their shingles alike: by how many of a
+    sample of these members have them, then by hash. A pair that overlaps enough has
+    its first common shingle within either's prefix, with enough shingles left behind
+    it, whatever the order; the sample only makes prefixes rare. Members of a
+    shingle's largest class are not compared with each other.
+    """
+    hubs = hubs_of(large)
+    of_hub = large.join(hubs, "band").select("hub", "node", "n", "label").distinct()
+    of_hub = materialise(of_hub, "dup-hub-members")
+    groups = of_hub.groupBy("hub").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
+    wanted = F.greatest(F.lit(16), F.least(F.lit(sample), F.col("members") / 8))
+    drawn = of_hub.join(groups, "hub").where(F.pmod(F.xxhash64("node"), "members") < wanted).join(sets, "node")
+    common = drawn.select("hub", F.explode("units").alias("unit")).groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    common = common.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("k", "unit")))["unit"].alias("common"))
+    orders = materialise(groups.join(common, "hub", "left").select("hub", "least", F.coalesce("common", F.array().cast("array<bigint>")).alias("common")), "dup-orders")
+    both = of_hub.join(sets, "node").join(orders, "hub")
+    need = F.greatest(F.lit(threshold) * F.col("n"), F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("least")))
+    length = (F.col("n") - F.ceil(need - ROUNDING) + 1).cast("int")
+    both = both.withColumn("own", F.array_sort(F.array_except("units", "common")))
+    prefix = both.withColumn("prefix", F.when(F.size("own") >= length, F.slice("own", F.lit(1), length)).otherwise(F.slice(F.concat("own", F.array_intersect("common", "units")), F.lit(1), length)))
+    prefix = prefix.select("hub", "node", "n", "label", F.posexplode("prefix").alias("at", "unit"))
+    prefix = materialise(prefix.select("hub", "unit", "node", "n", "label", (F.col("n") - F.col("at")).alias("left")), "dup-prefixes")
+    key = ["hub", "unit"]
+    sizes = prefix.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("k"))
+    top = sizes.groupBy(*key).agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select(*key, "top")
+    met = materialise(prefix.join(top, key), "dup-met")
+    one = met.where("label != top").drop("top")
+    two = met.select(*key, *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "left")))
     enough = F.least("left", "left_") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_")) - ROUNDING
-    both = one.join(two, (one["unit"] == two["unit"]) & (F.col("label") != F.col("label_")) & enough)
-    return both.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+    pairs = one.join(two, key).where((F.col("label") != F.col("label_")) & enough)
+    found = materialise(pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), "dup-tries")
+    for table in (hubs, of_hub, orders, prefix, met):
+        discard(table)
+    return found
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -219,12 +249,16 @@ def link_nodes(signed: DataFrame, docs: DataFrame, threshold: float, shingle: in
         if found.count() < ROUND_YIELD * fresh.count():
             break
 
-    # larger buckets: pairs of different classes that share a rare shingle, as all pairs above the threshold do
+    # larger buckets: pairs of different classes that share a shingle of their prefixes, as all pairs above the threshold do
     large = members.where(F.col("members") > small_bucket).select("band", "node", "n").join(classes, "node")
     several = large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
-    open_ = materialise(large.join(several, "band").select("node", "n", "label").distinct(), "dup-open")
+    degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    open_ = large.join(several, "band").join(degree, "node", "left").select("band", "node", "n", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+    open_ = materialise(open_, "dup-open")
     if not open_.isEmpty():
-        fresh = materialise(rare_pairs(open_, sets, threshold).join(tried, ["a", "b"], "left_anti"), "dup-pairs")
+        tries = prefix_pairs(open_, sets, threshold)
+        fresh = materialise(tries.join(tried, ["a", "b"], "left_anti"), "dup-pairs")
+        discard(tries)
         found = materialise(verify(fresh, sets, threshold), "dup-links")
         tried = tried.union(fresh)
         if not found.isEmpty():

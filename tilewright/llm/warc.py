@@ -5,19 +5,25 @@ version; each further record has one header line (five fields in version 1, ten
 in version 2, told apart by that line) and as many bytes as its last field
 declares. The converter walks records by these lengths, then synthesises what
 WARC needs: record ids (name-based UUIDs of URL, date and block), ISO dates,
-record types, and block and payload digests. Records whose payload equals that
-of a record with a smaller page id become ``revisit`` records without payload.
-
-WARC records are text rows written with Spark's text writer (one gzip file per
-task, ``records_per_file`` at most in each), so any store Spark reaches will
-do; they are read back through the binary file source and parsed by declared
-lengths. The duplicate search shuffles digests and ids only.
-
-Defined cases: null HTML is an empty payload; a null or blank URL is written as
-``-``, white space in it is percent-encoded; among equal payloads rows that
+block and payload digests, and record types: ``warcinfo`` for the filedesc
+record, ``response`` for HTTP messages, ``resource`` for others such as DNS
+answers, and ``revisit``, without payload, for messages whose payload equals
+that of one with a smaller page id. Files may be gzipped, whole or by record.
+
+Archives are parsed once, into a written table; the duplicate search shuffles its
+digests and ids only. Every WARC record is a gzip member of its own. Spark's
+text writer writes the bytes: its separator is the byte 0 that a member of less
+than 16 MB ends in, which is left out before; longer records are several
+members. Files end at about ``warc_bytes``. They are read back through the
+binary file source, a file at a time, and parsed by declared lengths.
+
+Defined cases: null HTML is an empty payload; payloads may be any bytes; a null or
+blank URL is written as ``-``, white space in it is percent-encoded; page ids may
+have any type that casts to and from string; among equal payloads rows that
 share the smallest page id are all responses; a null page id never makes a
-revisit's target unless all are null, in which case all are responses; an empty
-table gives no rows; extra columns are ignored.
+revisit's target unless all are null, in which case all are responses; a very long
+payload is one record, in memory once; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +33,17 @@ import gzip
 import hashlib
 import io
 import re
+import urllib.parse
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, shared_dir
+from .common import arrow_batches, discard, materialise, read_table, shared_dir
+from .decontaminate import BROADCAST_ROWS, bounded
 
 #: Field names of the two versions' header lines.
 FIELDS = {
@@ -44,7 +53,8 @@ FIELDS = {
 DATE = "20010203040506"
 ID_HEADER = "X-Page-Id"
 ARCHIVE_BYTES = 4 << 20
-RECORDS_PER_FILE = 4000
+WARC_BYTES = 32 << 20
+MEMBER_BYTES = 15 << 20
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
 
@@ -61,23 +71,28 @@ def arc_header(version: int) -> bytes:
     return f"{line} {len(body)}\n".encode() + body + b"\n"
 
 
-def arc_record(version: int, offset: int, page_id: int | None, url: str | None, payload: bytes) -> bytes:
+def arc_line(version: int, offset: int, url: str | None, content_type: str, n: int) -> bytes:
     url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"{ID_HEADER}: {page_id}\r\n".encode() if page_id is not None else b"") + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     more = f" 200 - - {offset} pages.arc" if version == 2 else ""
-    return f"{url} 127.0.0.1 {DATE} text/html{more} {len(block)}\n".encode() + block + b"\n"
+    return f"{url} 127.0.0.1 {DATE} {content_type}{more} {n}\n".encode()
+
+
+def arc_record(version: int, offset: int, page_id: str | None, url: str | None, payload: bytes) -> bytes:
+    of_page = f"{ID_HEADER}: {urllib.parse.quote(str(page_id))}\r\n" if page_id is not None else ""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{of_page}Content-Length: {len(payload)}\r\n\r\n".encode()
+    return b"".join([arc_line(version, offset, url, "text/html", len(head) + len(payload)), head, payload, b"\n"])
 
 
-def build_arcs(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(content): ARC files of about ``archive_bytes``, by turns of version 1 and 2, of rows (page_id, url, html)."""
+def build_arcs(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(content): ARC files of about ``archive_bytes``, by turns of version 1 and 2, of pages whose html is text or bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version, parts, size = 1, [], 0
         for batch in batches:
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, address, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not parts:
                     parts, size = [arc_header(version)], len(arc_header(version))
-                parts.append(arc_record(version, size, page_id, url, html or b""))
+                parts.append(arc_record(version, size, page, address, payload or b""))
                 size += len(parts[-1])
                 if size >= archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["content"])
@@ -85,11 +100,13 @@ def build_arcs(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFram
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["content"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode("html", "UTF-8").alias("html")).mapInArrow(run, "content binary")
+    return arrow_batches(pages.select(F.col(page_id).cast("string"), F.col(url).cast("string"), F.col(html).cast("binary"))).mapInArrow(run, "content binary")
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC file: its header line's fields and ``block``; raises where a declared length is wrong."""
+    """Records of an ARC file, the filedesc record first: header fields and ``block``; raises where a declared length is wrong."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, fields = 0, None
     while at < len(data):
         end = data.index(b"\n", at)
@@ -103,14 +120,13 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             fields = names.split(" ")
             if FIELDS.get(version) != names:
                 raise ValueError(f"unknown ARC version line: {first}")
-        else:
-            values = line.rsplit(" ", len(fields) - 1)
-            if len(values) != len(fields):
-                raise ValueError(f"an ARC header line of version {version} has {len(fields)} fields: {line[:100]}")
-            n = int(values[-1])
-            if end + 1 + n > len(data):
-                raise ValueError("an ARC record is longer than its file")
-            yield dict(zip(fields, values, strict=True)) | {"block": data[end + 1 : end + 1 + n]}
+        values = line.rsplit(" ", len(fields) - 1)
+        if len(values) != len(fields):
+            raise ValueError(f"an ARC header line of version {version} has {len(fields)} fields: {line[:100]}")
+        n = int(values[-1])
+        if end + 1 + n > len(data):
+            raise ValueError("an ARC record is longer than its file")
+        yield dict(zip(fields, values, strict=True)) | {"block": data[end + 1 : end + 1 + n]}
         at = end + 1 + n
         if data[at : at + 1] != b"\n":
             raise ValueError("an ARC record's declared length is wrong")
@@ -123,26 +139,44 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (head + sep, body) if sep and block.startswith(b"HTTP/") else (b"", block)
 
 
-RECORDS = "page_id long, url string, ip string, date string, http binary, payload binary, payload_digest string, payload_bytes long, record_id string"
+def page_of(http: bytes) -> str | None:
+    found = re.search(rf"\r\n{ID_HEADER}: ([^\r\n]*)\r\n".encode(), http)
+    return urllib.parse.unquote(found[1].decode()) if found else None
+
+
+RECORDS = "page string, kind string, url string, ip string, date string, content_type string, http binary, payload binary, payload_digest string, payload_bytes long, block_digest string, head_digest string, record_id string, info_id string"
+KINDS = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+
+
+def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split(" ") for x in ddl.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
-def arc_records(arcs: DataFrame, payloads: bool = True) -> DataFrame:
-    """Records of ARC files with synthesised ids and digests; without ``payloads`` the bytes stay out."""
+def arc_records(arcs: DataFrame) -> DataFrame:
+    """Records of ARC files (column ``content``) with synthesised types, ids and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, info, size = [], None, 0
                 for r in parse_arc(content.as_py()):
                     http, payload = split_http(r["block"])
-                    found = re.search(rf"\r\n{ID_HEADER}: (-?\d+)\r\n".encode(), http)
-                    page = int(found[1]) if found else None
-                    name = uuid.uuid5(NAMES, f"{r['URL']} {r['Archive-date']} {page} {hashlib.sha1(r['block']).hexdigest()}")
-                    rows.append((page, r["URL"], r["IP-address"], r["Archive-date"], http if payloads else None, payload if payloads else None, base32_sha1(payload), len(payload), f"urn:uuid:{name}"))
-                for low in range(0, len(rows), 500):
-                    cols = zip(*rows[low : low + 500], strict=True)
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split(" ")[0] for x in RECORDS.split(", ")])
+                    page = page_of(http)
+                    digest = base32_sha1(r["block"])
+                    name = f"urn:uuid:{uuid.uuid5(NAMES, ' '.join((r['URL'], r['Archive-date'], str(page), digest)))}"
+                    kind, content_type = ("response", "application/http; msgtype=response") if http else ("resource", r["Content-type"])
+                    if info is None:
+                        info, kind, content_type = name, "warcinfo", "application/warc-fields"
+                        payload = f"software: tilewright\r\nformat: WARC File Format 1.1\r\nconverted-from: {r['URL']}\r\narc-fields: {r['block'].decode().splitlines()[1]}\r\n".encode()
+                        digest = base32_sha1(payload)
+                    rows.append((page, kind, r["URL"], r["IP-address"], r["Archive-date"], content_type, http, payload, base32_sha1(payload), len(payload), digest, base32_sha1(http), name, info))
+                    size += len(payload)
+                    if size >= 1 << 20:
+                        yield batch_of(rows, RECORDS)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows, RECORDS)
 
     return arcs.mapInArrow(run, RECORDS)
 
@@ -150,39 +184,61 @@ def arc_records(arcs: DataFrame, payloads: bool = True) -> DataFrame:
 # ---- WARC ----
 
 
-def warc_rows(records: DataFrame, digests: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(record): each record as WARC text; ``digests`` are the same records without bytes, for the duplicate search."""
-    first = digests.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("known_"), F.count(F.lit(1)).alias("n"))
+def warc_rows(records: DataFrame, min_bytes: int = 0, id_type: str = "long", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(head, block): each record as WARC bytes; ``records`` is a written table of ``arc_records``."""
+    known = records.where("kind = 'response'").select(F.col("page").cast(id_type).alias("page_id"), "payload_digest", "payload_bytes", "record_id")
+    first = known.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("known_"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1 and known_ is not null").select("payload_digest", "payload_bytes", F.col("known_.page_id").alias("refers_to"), F.col("known_.record_id").alias("refers_id"))
-    later = digests.join(first, ["payload_digest", "payload_bytes"]).where("page_id is null or page_id != refers_to").select(F.col("record_id").alias("record_id_"), "refers_to", "refers_id").distinct()
+    later = known.join(first, ["payload_digest", "payload_bytes"]).where("page_id is null or page_id != refers_to").select(F.col("record_id").alias("record_id_"), "refers_to", "refers_id").distinct()
+    later = bounded(materialise(later, "warc-revisits"), broadcast_rows)
     both = records.join(later, records["record_id"] == later["record_id_"], "left")
-    again = F.col("refers_id").isNotNull()
-    payload = F.decode("payload", "UTF-8")
-    http = F.decode("http", "UTF-8")
-    block = F.when(again, http).otherwise(F.concat(http, payload))
-    size = F.length("http") + F.when(again, 0).otherwise(F.length("payload"))
+    again, info = F.col("refers_id").isNotNull(), F.col("kind") == "warcinfo"
+    size = F.octet_length("http") + F.when(again, 0).otherwise(F.octet_length("payload"))
     iso = F.concat(*(F.concat(F.substring("date", a, n), F.lit(sep)) for a, n, sep in ((1, 4, "-"), (5, 2, "-"), (7, 2, "T"), (9, 2, ":"), (11, 2, ":"), (13, 2, "Z"))))
+    sha1 = lambda c: F.concat(F.lit("sha1:"), c)
+    name = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     lines = [
-        (F.lit("WARC-Type"), F.when(again, "revisit").otherwise("response")),
-        (F.lit("WARC-Record-ID"), F.concat(F.lit("<"), "record_id", F.lit(">"))),
+        (F.lit("WARC-Type"), F.when(again, "revisit").otherwise(F.col("kind"))),
+        (F.lit("WARC-Record-ID"), name("record_id")),
         (F.lit("WARC-Date"), iso),
-        (F.lit("WARC-Target-URI"), F.col("url")),
-        (F.lit("WARC-IP-Address"), F.col("ip")),
-        (F.lit("WARC-Payload-Digest"), F.concat(F.lit("sha1:"), "payload_digest")),
+        (F.lit("WARC-Target-URI"), F.when(~info, F.col("url"))),
+        (F.lit("WARC-IP-Address"), F.when(~info, F.col("ip"))),
+        (F.lit("WARC-Warcinfo-ID"), F.when(~info, name("info_id"))),
+        (F.lit("WARC-Block-Digest"), sha1(F.when(again, F.col("head_digest")).otherwise(F.col("block_digest")))),
+        (F.lit("WARC-Payload-Digest"), F.when(~info, sha1("payload_digest"))),
         (F.lit("X-Payload-Length"), F.col("payload_bytes").cast("string")),
-        (F.lit("WARC-Refers-To"), F.concat(F.lit("<"), "refers_id", F.lit(">"))),
-        (F.lit("X-Refers-To-Page"), F.col("refers_to").cast("string")),
+        (F.lit("WARC-Refers-To"), name("refers_id")),
+        (F.lit("X-Refers-To-Page"), F.url_encode(F.col("refers_to").cast("string"))),
         (F.lit("WARC-Profile"), F.when(again, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        (F.lit("Content-Type"), F.lit("application/http; msgtype=response")),
+        (F.lit("Content-Type"), F.col("content_type")),
         (F.lit("Content-Length"), size.cast("string")),
     ]
-    head = F.concat(*(F.coalesce(F.concat(k, F.lit(": "), v, F.lit("\r\n")), F.lit("")) for k, v in lines))
-    # the text writer adds the last line feed of the two that end a record
-    return both.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block, F.lit("\r\n\r")).alias("record"))
+    head = F.concat(F.lit("WARC/1.1\r\n"), *(F.coalesce(F.concat(k, F.lit(": "), v, F.lit("\r\n")), F.lit("")) for k, v in lines), F.lit("\r\n"))
+    return both.select(head.cast("binary").alias("head"), "http", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
+
+
+def member(data: bytes) -> bytes:
+    squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return squeeze.compress(data) + squeeze.flush()
 
 
-def write_warcs(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    rows.write.option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_warcs(rows: DataFrame, path: str, warc_bytes: int = WARC_BYTES) -> None:
+    """Writes (head, http, payload) rows as gzipped WARC files of about ``warc_bytes`` under ``path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for batch in batches:
+            out = []
+            for parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = b"".join([*parts, b"\r\n\r\n"])
+                packed = b"".join(member(data[i : i + MEMBER_BYTES]) for i in range(0, len(data), MEMBER_BYTES))
+                out.append((size // warc_bytes, packed[:-1]))  # the writer adds the last byte, 0
+                size += len(packed)
+            if out:
+                yield batch_of(out, "file int, member binary")
+
+    packed = arrow_batches(rows).mapInArrow(run, "file int, member binary")
+    packed.select("file", F.col("member").cast("string").alias("value")).write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -203,43 +259,50 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         yield headers, block
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
+READ = "page string, payload_bytes long, payload_digest string, record_type string, refers string, record_id string, url string"
 
 
-def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives under ``path``; digests of full payloads are computed again and must match."""
+def read_warcs(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """Records of the archives under ``path`` but warcinfo: page_id, payload_bytes, payload_digest, record_type, refers_to,
+    record_id, url; digests of blocks and full payloads are computed again and must match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))):
+                for headers, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 16)):
+                    if base32_sha1(block) != headers["WARC-Block-Digest"].removeprefix("sha1:"):
+                        raise ValueError(f"block and digest differ: {headers['WARC-Record-ID']}")
+                    kind = headers["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
                     http, payload = split_http(block)
                     digest, size = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
-                    if headers["WARC-Type"] == "response":
-                        if base32_sha1(payload) != digest or len(payload) != size:
-                            raise ValueError(f"payload and digest differ: {headers['WARC-Record-ID']}")
-                    found = re.search(rf"\r\n{ID_HEADER}: (-?\d+)\r\n".encode(), http)
+                    if kind != "revisit" and (base32_sha1(payload) != digest or len(payload) != size):
+                        raise ValueError(f"payload and digest differ: {headers['WARC-Record-ID']}")
                     target = headers.get("X-Refers-To-Page")
-                    rows.append((int(found[1]) if found else None, size, digest, headers["WARC-Type"], int(target) if target else None, headers["WARC-Record-ID"].strip("<>")))
+                    rows.append((page_of(http), size, digest, kind, None if target is None else urllib.parse.unquote_plus(target), headers["WARC-Record-ID"].strip("<>"), headers["WARC-Target-URI"]))
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in READ.split(", ")])
+                    yield batch_of(rows, READ)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, READ)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    read = files.mapInArrow(run, READ)
+    return read.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type).alias("refers_to"), "record_id", "url")
 
 
-def convert_arcs(arcs: DataFrame, path: str, min_bytes: int = 0) -> None:
+def convert_arcs(arcs: DataFrame, path: str, min_bytes: int = 0, id_type: str = "long", warc_bytes: int = WARC_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Writes the records of ARC files (column ``content``) as WARC archives under ``path``."""
-    write_warcs(warc_rows(arc_records(arcs), materialise(arc_records(arcs, payloads=False).select("page_id", "payload_digest", "payload_bytes", "record_id"), "arc-digests"), min_bytes), path)
+    records = materialise(arc_records(arcs), "arc-records")
+    write_warcs(warc_rows(records, min_bytes, id_type, broadcast_rows), path, warc_bytes)
+    discard(records)
 
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC records, converted to WARC archives and read back."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    convert_arcs(build_arcs(read_table(spark, sf_dir, "pages")), path)
-    return read_warcs(spark, path).drop("record_id")
+    pages = read_table(spark, sf_dir, "pages")
+    path, id_type = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", pages.schema["page_id"].dataType.simpleString()
+    convert_arcs(build_arcs(pages), path, id_type=id_type)
+    return read_warcs(spark, path, id_type).drop("record_id", "url")
 
 
 OP7_SQL = """

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, langid, mixing, neardup, packing
-from tilewright.llm.common import materialise, read_table
+from tilewright.llm.common import materialise, read_table, unfold, whole_rows
 from tilewright.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown (no letter) or ambiguous between two codewords."""
     model = langid.fit(docs)
-    found = langid.predict(docs, model, docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(docs.columns)
+    found = langid.predict(whole_rows(docs, docs["text"].alias("text")), model, ["row"])
+    return unfold(found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

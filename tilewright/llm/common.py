@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    A local session that names none gets a temporary one; on a cluster that would
+    be one machine's own folder, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,6 +59,34 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def arrow_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """``df``, with the session's Arrow batches from now on limited to ``size`` bytes, so that a
+    Python worker holds a few times that, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
+def apart(keep: Iterable[str], outputs: Iterable[str]) -> list[str]:
+    """Names for kept columns: their own, with ``_`` behind those that an output column has."""
+    taken, names = {o.lower() for o in outputs}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def whole_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """``row``, a struct of all columns, and further columns: no name inside the struct can clash with theirs."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *more)
+
+
+def unfold(rows: DataFrame) -> DataFrame:
+    """The columns of ``row`` again."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in rows.schema["row"].dataType.names))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, _UPPER, _UPPER.lower())

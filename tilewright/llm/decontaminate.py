@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, materialise, read_table
+from .common import alnum_words, materialise, read_table, unfold, whole_rows
 
 WINDOW = 10
 SHINGLE = 5
@@ -110,8 +110,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """The rows of ``docs`` without a hit, unchanged."""
     _, texts, _ = verified_windows(docs, items, text, broadcast_rows=broadcast_rows, **options)
-    keyed = docs.withColumn("text_key_", text_key(F.col(text)))
-    return keyed.join(bounded(texts.select(F.col("key").alias("text_key_")), broadcast_rows), "text_key_", "left_anti").select(docs.columns)
+    keyed = whole_rows(docs, text_key(docs[text]).alias("key"))
+    return unfold(keyed.join(bounded(texts.select("key"), broadcast_rows), "key", "left_anti"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import held_out, read_table
+from .common import apart, arrow_batches, held_out, read_table
 
 UNKNOWN = "und"
 BITS = 14
 BUCKETS = 2 << BITS  # a half for each order; one more row stands for no n-gram
 MAX_LANGUAGES = 1000
-SLICE = 1 << 20
+SLICE = 1 << 18
 SCALE = 1e6
 
 #: ASCII letters and all bytes of non-ASCII characters stay, anything else is a break.
@@ -134,7 +135,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(have[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(have[at], pa.int64())], ["lang", "bucket", "n"])
 
-    return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return arrow_batches(rows).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES) -> Model | None:
@@ -172,7 +173,7 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
             np.add.at(sums, at, np.column_stack([np.ones(len(z)), z * SCALE, z * z * SCALE]).round().astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(index)), sums.shape[1]), pa.int32()), pa.array(np.tile(np.arange(sums.shape[1]), len(index)), pa.int32()), pa.array(sums.ravel(), pa.int64())], ["k", "c", "v"])
 
-    got = rows.mapInArrow(run, "k int, c int, v long").groupBy("k", "c").agg(F.sum("v").alias("v")).toPandas()
+    got = arrow_batches(rows).mapInArrow(run, "k int, c int, v long").groupBy("k", "c").agg(F.sum("v").alias("v")).toPandas()
     sums = np.zeros((len(index), 2 * n_bits + 1))
     sums[got["k"], got["c"]] = got["v"]
     n = np.maximum(sums[:, :1], 1)
@@ -188,10 +189,13 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", margin: float = 0.02) -> DataFrame:
-    """The columns ``keep``, then lang_pred, score (0 to 1) and ambiguous of each whole text."""
+    """The columns ``keep``, then lang_pred, score (0 to 1) and ambiguous of each whole text; a kept column
+    of one of these names gets ``_`` behind its own."""
     n = len(keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ``max_languages`` times 10 log2(max_languages) bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             known = batch.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
             if model is None:
@@ -204,9 +208,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(share, pa.float64()), pa.array(unsure, pa.bool_())], [f"c{i}" for i in range(n + 3)])
 
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(text).alias("text_"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter_"))
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep] + ["string", "double", "boolean"]
-    out = rows.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate([*keep, "lang_pred", "score", "ambiguous"])))
+    out = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)])
+    out = out.add(f"c{n}", "string").add(f"c{n + 1}", "double").add(f"c{n + 2}", "boolean")
+    outputs = ["lang_pred", "score", "ambiguous"]
+    return arrow_batches(rows).mapInArrow(run, out).toDF(*apart(keep, outputs), *outputs)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash as bag
-from .common import discard, materialise, read_table
+from .common import arrow_batches, discard, materialise, read_table, unfold, whole_rows
 from .decontaminate import BROADCAST_ROWS, bounded, text_key
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ ROUND_YIELD = 0.01
 #: Members of a large bucket whose shingles order those of all.
 SAMPLE = 256
 ROUNDING = 1e-9
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def sign(docs: DataFrame, n_bands: int, rows: int, shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(n), lists], ["doc_id", "tkey", "node", "n", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tkey binary, node binary, n long, bands array<long>")
+    return arrow_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tkey binary, node binary, n long, bands array<long>")
 
 
 def unit_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -98,7 +98,7 @@ def unit_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, weight, len(words)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bag.units(h, weight, nth)))], ["node", "units"])
 
-    return texts.mapInArrow(run, "node binary, units array<long>")
+    return arrow_batches(texts).mapInArrow(run, "node binary, units array<long>")
 
 
 def pairs_with(members: DataFrame, centre: Column, threshold: float) -> DataFrame:
@@ -292,16 +292,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, unchanged."""
-    key = lambda i, t: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("-")), F.coalesce(F.hex(t), F.lit("-")))
+    """The rows of ``docs`` that stay, one of each class, unchanged; of repeated rows that differ in
+    other columns alone, the one with the least digest of them all."""
+    key = lambda i, t: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(F.hex(t), F.lit("-")))
     found = near_duplicates(docs, doc_id, text, broadcast_rows=broadcast_rows, **options).where("tkey is not null")
-    by_key = materialise(found.where((~F.col("keep")) | (F.col("class_size") > 1)).groupBy(key("doc_id", F.col("tkey")).alias("row_key_")).agg(F.max("keep").alias("stays"), F.count(F.lit(1)).alias("copies")), "dup-drop")
-    keyed = docs.withColumn("row_key_", key(doc_id, text_key(F.col(text))))
-    touched = bounded(by_key.where("not stays or copies > 1").select("row_key_"), broadcast_rows)
-    repeated = bounded(by_key.where("stays and copies > 1").select("row_key_"), broadcast_rows)
-    once = keyed.join(touched, "row_key_", "left_anti")
-    copies = keyed.join(repeated, "row_key_", "left_semi").dropDuplicates(["row_key_"])
-    return once.select(docs.columns).union(copies.select(docs.columns))
+    by_key = materialise(found.where((~F.col("keep")) | (F.col("class_size") > 1)).groupBy(key(F.col("doc_id"), F.col("tkey")).alias("key")).agg(F.max("keep").alias("stays"), F.count(F.lit(1)).alias("copies")), "dup-drop")
+    keyed = whole_rows(docs, key(docs[doc_id], text_key(docs[text])).alias("key"))
+    touched = bounded(by_key.where("not stays or copies > 1").select("key"), broadcast_rows)
+    repeated = bounded(by_key.where("stays and copies > 1").select("key"), broadcast_rows)
+    once = keyed.join(touched, "key", "left_anti").select("row")
+    copies = keyed.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row")
+    return unfold(once.union(copies))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

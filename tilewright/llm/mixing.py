@@ -17,8 +17,10 @@ within a source are found with one window over its shard summaries.
 
 Defined cases: null or blank texts have size 0 and nothing is taken of them; a
 null source is a source of its own, last in order; a null id is dealt like any
-other; repeated rows are separate documents; an empty table gives no rows;
-extra columns are ignored. Results depend on the rows and the seed alone.
+other; repeated rows are separate documents; rows that are alike in id and text
+share what their copies are given in any order; a very long text is cut by word
+ranges; an empty table gives no rows; extra columns are ignored. Results depend
+on the rows and the seed alone.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, materialise, read_table, space_word_count
+from .common import SPACE_WORD, apart, materialise, read_table, space_word_count, whole_rows
 
 BLOCK = 128
 SHARD_WORDS = 2_000_000
@@ -75,14 +77,30 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
-def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), block: int = BLOCK, shard_words: int = SHARD_WORDS, epochs: int = EPOCHS, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
+def sized_rows(rows: DataFrame, doc_id: Column, text: Column, source: Column, seed: int, *more: Column) -> DataFrame:
+    """The written table of (row_id, doc_id, source_, size, order_) and further columns that a plan starts from."""
+    order = F.xxhash64(F.lit(seed), doc_id, text)
+    return materialise(rows.select("row_id", doc_id.alias("doc_id"), source.alias("source_"), space_word_count(text).alias("size"), order.alias("order_"), *more), "mix-sizes")
+
+
+def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), seed: int = SEED, **options) -> DataFrame:
     """Per row: row_id, doc_id, ``keep``, size, source_size, target, taken, epochs and parts.
 
     ``epochs`` counts whole passes over the document, ``parts`` are the further word ranges
-    (begin, end) that the mix takes of it; ``taken`` counts all words of both.
+    (begin, end) that the mix takes of it; ``taken`` counts all words of both. A kept column
+    with one of these names gets ``_`` behind its own.
     """
-    spark = docs.sparkSession
-    sized = materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("doc_id"), *keep, F.col(source).alias("source_"), space_word_count(F.col(text)).alias("size")), "mix-sizes")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(source).alias("s"), F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).alias("kept"))
+    sized = sized_rows(rows, F.col("d"), F.col("t"), F.col("s"), seed, F.col("kept"))
+    plan = plan_rows(sized, seed=seed, **options)
+    names = apart(keep, [c for c in plan.columns if c != "kept"])
+    return plan.select("row_id", "doc_id", *(F.col("kept")[f"k{i}"].alias(c) for i, c in enumerate(names)), "size", "source_size", "target", "taken", "epochs", "parts")
+
+
+def plan_rows(sized: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, epochs: int = EPOCHS, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
+    """The plan of ``sized_rows``: its further columns, and those that ``mix_plan`` adds."""
+    spark = sized.sparkSession
+    more = [c for c in sized.columns if c not in ("row_id", "doc_id", "source_", "size", "order_")]
     found = sized.groupBy("source_").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources")
@@ -92,11 +110,11 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     total = sum(sizes)
     seats = sainte_lague(aims, round(total / block))
     shards = max(1, math.ceil(total / shard_words))
-    kind = docs.schema[source].dataType.simpleString()
+    kind = sized.schema["source_"].dataType.simpleString()
     by_source = F.broadcast(spark.createDataFrame([(r.source_, i, n, a, q, min(shards, max(1, int(n // (LEAST_BLOCKS * block))))) for i, (r, n, a, q) in enumerate(zip(found, sizes, aims, seats, strict=True))], f"source_ {kind}, src int, source_size long, target double, seats long, shards int"))  # max_sources rows at most
 
     dealt = sized.join(by_source, sized["source_"].eqNullSafe(by_source["source_"])).drop("source_", "seats")
-    dealt = dealt.withColumn("order_", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order_"), F.col("shards")).cast("int")).drop("shards")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order_"), F.col("shards")).cast("int")).drop("shards")
 
     # words of each source's shards, block by block
     shard_sizes = dealt.where("size > 0").groupBy("src", "shard").agg(F.sum("size").alias("n"))
@@ -120,30 +138,30 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     # documents on the line, piece by block
     line = Window.partitionBy("src", "shard").orderBy("order_", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    laid = dealt.withColumn("begin", F.sum("size").over(line) - F.col("size")).join(quota.select("src", "shard", "epochs"), ["src", "shard"], "left")
+    laid = dealt.withColumn("begin", F.sum("size").over(line) - F.col("size")).join(quota.select("src", "shard", "epochs").hint("merge"), ["src", "shard"], "left")
     laid = laid.withColumn("epochs", F.when(F.col("size") > 0, F.coalesce(F.col("epochs"), F.lit(0))).otherwise(0).cast("long"))
     piece = laid.where("size > 0").select("row_id", "src", "shard", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
-    piece = piece.join(blocks, ["src", "shard", "block"])
+    piece = piece.join(blocks.hint("merge"), ["src", "shard", "block"])  # as many blocks as words / block: never broadcast
     at = F.col("block") * block
     piece = piece.withColumn("from", F.greatest(at, F.col("begin")) - F.col("begin")).withColumn("to", F.least(at + F.col("take"), F.col("begin") + F.col("size")) - F.col("begin")).where(F.col("to") > F.col("from"))
     parts = piece.groupBy("row_id").agg(F.sum(F.col("to") - F.col("from")).alias("more"), F.sort_array(F.collect_list(F.struct(F.col("from").cast("long").alias("begin"), F.col("to").cast("long").alias("end")))).alias("parts"))
-    out = laid.join(parts, "row_id", "left")
+    out = laid.join(parts.hint("merge"), "row_id", "left")
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    return out.select("row_id", "doc_id", *keep, F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", (F.col("epochs") * F.col("size") + F.coalesce(F.col("more"), F.lit(0))).cast("long").alias("taken"), "epochs", F.coalesce("parts", none).alias("parts"))
+    return out.select("row_id", "doc_id", *more, F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", (F.col("epochs") * F.col("size") + F.coalesce(F.col("more"), F.lit(0))).cast("long").alias("taken"), "epochs", F.coalesce("parts", none).alias("parts"))
 
 
-def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document whole for each pass over it, and once more
     with the words of its further parts (joined by single spaces) if it has any."""
-    names = docs.columns
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("key_"), "*"), "mix-docs")
-    plan = mix_plan(rows, "key_", text, source, **options).select(F.col("doc_id").alias("key_"), "epochs", "parts")
-    both = rows.join(plan.where("epochs > 0 or size(parts) > 0"), "key_")
-    words = both.withColumn("words_", F.when(F.size("parts") > 0, F.regexp_extract_all(F.col(text), F.lit(f"({SPACE_WORD})"), F.lit(1))))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words_", (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))), " ")
+    rows = materialise(whole_rows(docs, F.monotonically_increasing_id().alias("row_id")), "mix-docs")
+    at = lambda c: F.col("row")[c]
+    plan = plan_rows(sized_rows(rows, at(doc_id), at(text), at(source), seed), seed=seed, **options).select("row_id", "epochs", "parts")
+    both = rows.join(plan.where("epochs > 0 or size(parts) > 0").hint("merge"), "row_id")
+    words = both.withColumn("words", F.when(F.size("parts") > 0, F.regexp_extract_all(at(text), F.lit(f"({SPACE_WORD})"), F.lit(1))))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))), " ")
     copies = F.concat(F.array_repeat(F.lit(False), F.col("epochs").cast("int")), F.when(F.size("parts") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    spread = words.withColumn("part_", F.explode(copies))
-    return spread.select(*(F.when(F.col("part_"), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names))
+    spread = words.withColumn("part", F.explode(copies))
+    return spread.select(*((F.when(F.col("part"), cut).otherwise(at(c)) if c == text else at(c)).alias(c) for c in docs.columns))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """The other operators: defined cases, round trips and brute force on small tables."""
 
+import gzip
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -265,9 +267,37 @@ def test_archives(spark, tmp_path):
     assert versions == {b"1", b"2"}
 
 
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_binary_and_other_records_survive(spark, tmp_path, squeeze):
+    """Latin-1 and zero bytes, a DNS answer, several files, string ids, gzipped archives."""
+    payloads = {"a 1": "caf\xe9".encode("latin-1"), "b/ü": bytes(range(256)) * 3, "c": b"caf\xe9", "d": b"\0" * 10, "e": b""}
+    dns = b"20010203040506\na.example. 60 IN A 127.0.0.1\n"
+    data = warc.arc_header(2) + b"".join(warc.arc_record(2, 0, k, f"http://x/{k}", v) for k, v in payloads.items())
+    data += warc.arc_line(2, 0, "dns:a.example", "text/dns", len(dns)) + dns + b"\n"
+    arcs = spark.createDataFrame([(gzip.compress(data) if squeeze else data,)], "content binary")
+    warc.convert_arcs(arcs, str(tmp_path / "w"), id_type="string", warc_bytes=200, broadcast_rows=0)
+    got = {r.page_id: r for r in warc.read_warcs(spark, str(tmp_path / "w"), "string").collect()}
+    assert {k: r.record_type for k, r in got.items()} == {"a 1": "response", "b/ü": "response", "c": "revisit", "d": "response", "e": "response", None: "resource"}
+    assert got["c"].refers_to == "a 1" and got[None].url == "dns:a.example"
+    assert all(got[k].payload_digest == warc.base32_sha1(v) and got[k].payload_bytes == len(v) for k, v in payloads.items())
+    files = list((tmp_path / "w").rglob("*.txt"))
+    assert len(files) > 1
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert raw.count(b"WARC-Type: warcinfo") == 1 and raw.count(b"WARC-Block-Digest: ") == 7
+    assert payloads["b/ü"] in raw
+
+
+def test_long_records_are_several_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100)
+    assert zlib.decompress(warc.member(b"abc"), 31) == b"abc" and warc.member(b"x" * 5000)[-1] == 0
+    pages = spark.createDataFrame([(1, "u", "ab" * 5000)], "page_id long, url string, html string")
+    warc.convert_arcs(warc.build_arcs(pages), str(tmp_path / "w"))
+    assert [r.payload_bytes for r in warc.read_warcs(spark, str(tmp_path / "w")).collect()] == [10000]
+
+
 def test_wrong_lengths_are_refused():
-    data = warc.arc_header(1) + warc.arc_record(1, 0, 1, "http://a", b"abc")
-    assert len(list(warc.parse_arc(data))) == 1
+    data = warc.arc_header(1) + warc.arc_record(1, 0, "1", "http://a", b"abc")
+    assert len(list(warc.parse_arc(data))) == 2
     with pytest.raises(ValueError):
         list(warc.parse_arc(data[:-3]))
 

@@ -8,15 +8,16 @@ one more where some stand already), which is undone when reading back. Segment
 lengths give the loss mask by prefix sums over +1 at the start and -1 at the
 end of each assistant text.
 
-Rows are encoded one by one before any shuffle. Then turns are dealt by
+Rows are encoded, and read back, before any shuffle. Then turns are dealt by
 conversation and sorted, and one pass per task computes each turn's offset and
-the running digests, holding one turn at a time, whatever a conversation's
-length.
+the running digests, holding one batch at a time, whatever a conversation's
+length. A running digest has an order, so one conversation is one task's work.
 
 Defined cases: null roles and texts are empty; turns with equal numbers go by
 role, then text; a null turn comes first; rows without a conversation id form
 one conversation; repeated rows are turns of their own; an empty table gives no
-conversations; extra columns are ignored.
+conversations; ids keep their type; a very long text is one turn; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import read_table
-from .packing import TOKENIZER, load_tokenizer
+from .common import arrow_batches, read_table
+from .packing import TOKENIZER, encode_texts, load_tokenizer
 
 START_ID, STOP_ID = 50257, 50258
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -59,7 +62,7 @@ def assemble(segments: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.nda
     ends = np.cumsum([len(ids) for ids, _ in segments])
     step = np.zeros(int(ends[-1]) + 1, np.int8)
     for (ids, loss), end in zip(segments, ends, strict=True):
-        if loss and ids:
+        if loss and len(ids):
             step[end - len(ids)] += 1
             step[end] -= 1
     return np.concatenate([np.asarray(ids, np.uint16) for ids, _ in segments]), np.cumsum(step[:-1]).astype(bool)
@@ -79,26 +82,31 @@ def read_turn(ids: np.ndarray, mask: np.ndarray, tokenizer: str) -> tuple[str, s
     return unescape_role(role), unescape(text), loss, len(START) + len(body) + len(STOP) + len(tail)
 
 
-TURNS = "conv_id long, turn long, role string, input_ids binary, loss_mask binary"
+def encoded(texts: list[str], tokenizer: str) -> list[np.ndarray]:
+    """Each text's ids, encoded together."""
+    ids, counts = encode_texts(pa.array(texts, pa.string()), tokenizer)
+    return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
 
 
 def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Each turn's ids (little-endian uint16) and loss mask (a byte each), with conv_id, turn, role and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_tokenizer(tokenizer)
-        feed = enc.encode_ordinary("\n")
+        feed = load_tokenizer(tokenizer).encode_ordinary("\n")
         for batch in batches:
             ids, masks = [], []
-            for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                got, mask = assemble([([START_ID], False), (enc.encode_ordinary(escape_role(r) + "\n"), False), (enc.encode_ordinary(escape(t)), r == LOSS_ROLE), ([STOP_ID], False), (feed, False)])
+            roles = batch.column(2).to_pylist()
+            heads = {r: load_tokenizer(tokenizer).encode_ordinary(escape_role(r) + "\n") for r in set(roles)}
+            bodies = encoded([escape(t) for t in batch.column(3).to_pylist()], tokenizer)
+            for r, body in zip(roles, bodies, strict=True):
+                got, mask = assemble([([START_ID], False), (heads[r], False), (body, r == LOSS_ROLE), ([STOP_ID], False), (feed, False)])
                 ids.append(got.tobytes())
                 masks.append(mask.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(masks, pa.binary())], ["conv_id", "turn", "role", "text", "input_ids", "loss_mask"])
 
     none = F.lit("")
-    src = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), none).alias("role"), F.coalesce(F.col(text).cast("string"), none).alias("text"))
-    return src.mapInArrow(run, "conv_id long, turn long, role string, text string, input_ids binary, loss_mask binary")
+    src = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), none).alias("role"), F.coalesce(F.col(text).cast("string"), none).alias("text"))
+    return arrow_batches(src).mapInArrow(run, T.StructType(list(src.schema.fields)).add("input_ids", "binary").add("loss_mask", "binary"))
 
 
 def in_order(turns: DataFrame) -> DataFrame:
@@ -120,14 +128,36 @@ def place_turns(turns: DataFrame) -> DataFrame:
                 at += len(ids.as_buffer()) // 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(starts, pa.int64()), batch.column(4), batch.column(5)], ["conv_id", "turn", "role", "token_start", "input_ids", "loss_mask"])
 
-    return in_order(turns).mapInArrow(run, "conv_id long, turn long, role string, token_start long, input_ids binary, loss_mask binary")
+    own = [turns.schema[c] for c in ("conv_id", "turn")]
+    return in_order(turns).mapInArrow(run, T.StructType(own).add("role", "string").add("token_start", "long").add("input_ids", "binary").add("loss_mask", "binary"))
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
+def read_turns(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """conv_id, turn, role, text, loss text, characters and tokens of formatted turns, all read back from their ids and masks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = []
+            for ids, mask in zip(batch.column(2), batch.column(3), strict=True):
+                raw = np.frombuffer(ids.as_buffer(), np.uint16)
+                read.append((*read_turn(raw, np.frombuffer(mask.as_buffer(), bool), tokenizer), len(raw)))
+            columns = zip(*read, strict=True) if read else ((),) * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "turn", "role", "text", "loss", "chars", "tokens"])
+
+    own = [turns.schema[c] for c in ("conv_id", "turn")]
+    more = T.StructType(own).add("role", "string").add("text", "string").add("loss", "string").add("chars", "long").add("tokens", "long")
+    return turns.select("conv_id", "turn", "input_ids", "loss_mask").mapInArrow(run, more)
 
 
 def digest_conversations(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """What each conversation's formatted turns say when read back, as running digests."""
+    """What each conversation's formatted turns say when read back, as running digests.
+
+    Turns are read back where they were formatted; only the digests, which have to
+    run in order, are made behind the shuffle, a conversation in one task.
+    """
+    out_schema = T.StructType([turns.schema["conv_id"]]).add("n_turns", "long").add("turns_sha256", "string").add("loss_chars", "long").add("loss_sha256", "string").add("formatted_chars", "long").add("n_tokens", "long")
+    arrow = to_arrow_schema(out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple = ()
@@ -140,28 +170,25 @@ def digest_conversations(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
 
         def flush() -> Iterator[pa.RecordBatch]:
             if done:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in DIGEST.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
                 done.clear()
 
         for batch in batches:
-            for conv, ids, mask in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for conv, role, text, loss, chars, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
                 if (conv,) != now:
                     close()
                     now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                raw = np.frombuffer(ids.as_buffer(), np.uint16)
-                role, text, loss, chars = read_turn(raw, np.frombuffer(mask.as_buffer(), bool), tokenizer)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += chars
-                state[5] += len(raw)
+                state[5] += tokens
             yield from flush()
         close()
         yield from flush()
 
-    return in_order(turns).mapInArrow(run, DIGEST)
+    return in_order(read_turns(turns, tokenizer)).mapInArrow(run, out_schema)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ size (``buffer_tokens``) inside the task, so nothing is shuffled and memory
 does not grow with the partition.
 
 Defined cases: a null or empty text is the single end id; null ids stay null in
-``doc_ids``; repeated rows are packed once each; an empty table gives no rows;
-extra columns are ignored.
+``doc_ids``, which has the ids' own type; repeated rows are packed once each; pieces
+of equal length go by their order in the partition, into the bin that last came to
+a capacity; very long texts are split into whole rows and a rest; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import read_table
+from .common import arrow_batches, read_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50256
@@ -158,11 +162,13 @@ def pack(lengths: np.ndarray, row: int) -> list[list[int]]:
     return rows
 
 
-SCHEMA = "pack_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, token_starts array<int>"
-ARROW = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("input_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("token_starts", pa.list_(pa.int32()))])
+def schema(id_type: T.DataType) -> T.StructType:
+    """Of packed rows, with document ids of the given type."""
+    head = T.StructType().add("pack_id", "long").add("n_tokens", "integer").add("input_ids", "binary").add("cu_seqlens", T.ArrayType(T.IntegerType())).add("position_ids", "binary")
+    return head.add("doc_ids", T.ArrayType(id_type)).add("token_starts", T.ArrayType(T.IntegerType()))
 
 
-def pack_buffer(ids: np.ndarray, counts: np.ndarray, doc_ids: list, row: int, first_id: int) -> Iterator[pa.RecordBatch]:
+def pack_buffer(ids: np.ndarray, counts: np.ndarray, doc_ids: list, row: int, first_id: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Packed rows of the documents of one buffer."""
     begins = np.cumsum(counts) - counts
     pieces = -(-counts // row)
@@ -191,10 +197,10 @@ def pack_buffer(ids: np.ndarray, counts: np.ndarray, doc_ids: list, row: int, fi
                 pa.array([x.tobytes() for x in matrix], pa.binary()),
                 pa.array(out[1], pa.list_(pa.int32())),
                 pa.array([x.tobytes() for x in position], pa.binary()),
-                pa.array(out[2], pa.list_(pa.int64())),
+                pa.array(out[2], arrow.field("doc_ids").type),
                 pa.array(out[3], pa.list_(pa.int32())),
             ],
-            schema=ARROW,
+            schema=arrow,
         )
 
 
@@ -203,6 +209,9 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the end id and 0), cu_seqlens (cumulative lengths from 0), doc_ids and token_starts (first token within its
     document) of each segment."""
 
+    out_schema = schema(docs.schema[doc_id].dataType)
+    arrow = to_arrow_schema(out_schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
@@ -212,7 +221,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal next_id, held, size
             if held:
-                for out in pack_buffer(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]], row, next_id):
+                for out in pack_buffer(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]], row, next_id, arrow):
                     yield out
                     last = out.column(0)[len(out) - 1].as_py()
                 next_id = last + 1
@@ -229,11 +238,13 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return arrow_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, out_schema)
 
 
 def unpack_documents(packed: DataFrame, row: int = ROW, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, token_start and text bytes of each segment, read back from packed rows."""
+    out_schema = T.StructType().add("doc_id", packed.schema["doc_ids"].dataType.elementType).add("token_start", "integer").add("raw", "binary")
+    arrow = to_arrow_schema(out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = load_tokenizer(tokenizer)
@@ -243,10 +254,10 @@ def unpack_documents(packed: DataFrame, row: int = ROW, tokenizer: str = TOKENIZ
                 ids = np.frombuffer(r["input_ids"], np.uint16)
                 for a, b, d, s in zip(r["cu_seqlens"], r["cu_seqlens"][1:], r["doc_ids"], r["token_starts"], strict=False):
                     out.append((d, s, enc.decode_bytes([x for x in ids[a:b].tolist() if x != END_ID])))
-            d, s, t = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(t, pa.binary())], ["doc_id", "token_start", "raw"])
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return packed.select("input_ids", "cu_seqlens", "doc_ids", "token_starts").mapInArrow(run, "doc_id long, token_start int, raw binary")
+    return packed.select("input_ids", "cu_seqlens", "doc_ids", "token_starts").mapInArrow(run, out_schema)
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

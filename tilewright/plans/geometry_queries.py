@@ -11,117 +11,16 @@ from ..operators.semantic import references
 from ..queries import query, twin
 from ..sources.tables import table
 from .base_queries import ids, tiles
-from .table_queries import _IOU_SQL, overlap
 
 C = F.col
 CELL = 64
 
 
-def runs(components):
-    """One row for each horizontal run: tile_id, component_id, y, xa, xb (a rectangle has one in each row)."""
-    return components.select("*", F.explode(F.sequence("y0", "y1")).alias("y")).withColumns({"xa": C("x0"), "xb": C("x1")})
-
-
-# ---- rasters ----
-
-
-@query("ras_geometry", twin("select tile_id, component_id, w * h as pixels, (x0 + x1) / 2.0::double as mean_x, (y0 + y1) / 2.0::double as mean_y from comp"))
-def ras_geometry(spark, d):
-    n = C("xb") - C("xa") + 1
-    rows = runs(tiles(spark, d)).groupBy("tile_id", "component_id").agg(F.sum(n).alias("pixels"), F.sum((C("xa") + C("xb")) * n / 2).alias("sx"), F.sum(C("y") * n).alias("sy"))
-    return rows.select("tile_id", "component_id", "pixels", (C("sx") / C("pixels")).alias("mean_x"), (C("sy") / C("pixels")).alias("mean_y"))
-
-
-@query("ras_boundary", twin("select tile_id, component_id, 2 * w + 2 * h - 4 as boundary from comp"))
-def ras_boundary(spark, d):
-    edge = (C("y") == C("y0")) | (C("y") == C("y1"))
-    return runs(tiles(spark, d)).groupBy("tile_id", "component_id").agg(F.sum(F.when(edge, C("xb") - C("xa") + 1).otherwise(2)).alias("boundary"))
-
-
-@query("ras_conflicts", twin(f"select tile_id, cast(sum(i) as bigint) as pixels, count(*) filter (i > 0) as n_pairs from (select *, {_IOU_SQL} as i from pr where aid < bid) group by tile_id"))
-def ras_conflicts(spark, d):
-    return G.pairs(tiles(spark, d), True).withColumn("i", overlap()).groupBy("tile_id").agg(F.sum("i").alias("pixels"), F.count_if(C("i") > 0).alias("n_pairs"))
-
-
-@query("ras_paint_order", twin(f"select tile_id, aid as component_id, count(*) filter (bid > aid and i > 0) as n_over, count(*) filter (bid > aid and i = aarea) > 0 as hidden from (select *, {_IOU_SQL} as i from pr) group by 1, 2"))
-def ras_paint_order(spark, d):
-    """Later components are painted over earlier ones: how many cover some of each, and whether one covers all."""
-    later = C("b_component_id") > C("a_component_id")
-    rows = G.pairs(tiles(spark, d)).withColumn("i", overlap())
-    return rows.groupBy("tile_id", C("a_component_id").alias("component_id")).agg(F.count_if(later & (C("i") > 0)).alias("n_over"), (F.count_if(later & (C("i") == C("a_area_px"))) > 0).alias("hidden"))
-
-
-@query("ras_downsample", twin("select tile_id, u * 8 + v as cell, sum((least(x1, v * 64 + 63) - greatest(x0, v * 64) + 1) * (least(y1, u * 64 + 63) - greatest(y0, u * 64) + 1)) / 4096.0::double as share from comp, range(0, 8) a(u), range(0, 8) b(v) where x0 <= v * 64 + 63 and x1 >= v * 64 and y0 <= u * 64 + 63 and y1 >= u * 64 group by 1, 2"))
-def ras_downsample(spark, d):
-    """Covered area by cell of 64 pixels; components are spread over the cells they touch alone."""
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(C(lo) / CELL), F.floor(C(hi) / CELL)))
-    c = tiles(spark, d).select("tile_id", "x0", "x1", "y0", "y1", cells("y0", "y1").alias("u")).select("*", cells("x0", "x1").alias("v"))
-    part = lambda lo, hi, k: F.least(C(hi), C(k) * CELL + CELL - 1) - F.greatest(C(lo), C(k) * CELL) + 1
-    return c.groupBy("tile_id", (C("u") * 8 + C("v")).alias("cell")).agg((F.sum(part("x0", "x1", "v") * part("y0", "y1", "u")) / float(CELL * CELL)).alias("share"))
-
-
-@query("ras_ring", twin("select tile_id, component_id, (least(x1 + 1, 511) - greatest(x0 - 1, 0) + 1) * (least(y1 + 1, 511) - greatest(y0 - 1, 0) + 1) - w * h as ring from comp"))
-def ras_ring(spark, d):
-    span = lambda lo, hi: F.least(C(hi) + 1, F.lit(511)) - F.greatest(C(lo) - 1, F.lit(0)) + 1
-    return tiles(spark, d).select("tile_id", "component_id", (span("x0", "x1") * span("y0", "y1") - C("area_px")).alias("ring"))
-
-
-# ---- rings ----
-
-
-def ring():
-    """The closed ring of a component's corners as (x, y) doubles, clockwise on the screen."""
-    point = lambda x, y: F.struct(C(x).cast("double").alias("x"), C(y).cast("double").alias("y"))
-    return F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1"), point("x0", "y1"), point("x0", "y0"))
-
-
-def steps(r: str = "ring"):
-    """Consecutive points of a ring."""
-    return F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(F.get(r, i - 1).alias("p"), F.get(r, i).alias("q")))
-
-
-def total(f, r: str = "ring"):
-    return F.aggregate(F.transform(steps(r), lambda s: f(s["p"], s["q"])), F.lit(0.0), lambda a, x: a + x)
-
-
-@query("geo_shoelace", twin("select tile_id, component_id, cast((w - 1) * (h - 1) as double) as signed_area from comp"))
-def geo_shoelace(spark, d):
-    area = total(lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]) / 2)
-    return tiles(spark, d).withColumn("ring", ring()).select("tile_id", "component_id", area.alias("signed_area"))
-
-
-@query("geo_ring", twin("select tile_id, component_id, true as closed, 4 as n_corners, 'outer' as kind from comp"))
-def geo_ring(spark, d):
-    rows = tiles(spark, d).withColumn("ring", ring()).withColumn("area", total(lambda p, q: (p["x"] * q["y"] - q["x"] * p["y"]) / 2))
-    return rows.select("tile_id", "component_id", (F.get("ring", F.lit(0)) == F.element_at("ring", -1)).alias("closed"), F.size(F.array_distinct("ring")).alias("n_corners"), F.when(C("area") > 0, "outer").otherwise("hole").alias("kind"))
-
-
-@query("geo_perimeter", twin("select tile_id, component_id, 2.0::double * (w - 1 + h - 1) as perimeter from comp"))
-def geo_perimeter(spark, d):
-    length = total(lambda p, q: F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])))
-    return tiles(spark, d).withColumn("ring", ring()).select("tile_id", "component_id", length.alias("perimeter"))
-
-
 @query("geo_tight_box", twin("select tile_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from comp group by tile_id"))
 def geo_tight_box(spark, d):
     return tiles(spark, d).groupBy("tile_id").agg(*(F.min(k).alias(k) for k in ("x0", "y0")), *(F.max(k).alias(k) for k in ("x1", "y1")))
 
 
-@query("geo_clip", twin("select tile_id, component_id, greatest(x0, 128) as cx0, greatest(y0, 128) as cy0, least(x1, 383) as cx1, least(y1, 383) as cy1, (least(x1, 383) - greatest(x0, 128) + 1) * (least(y1, 383) - greatest(y0, 128) + 1) / (w * h) as visible from comp where x0 <= 383 and x1 >= 128 and y0 <= 383 and y1 >= 128"))
-def geo_clip(spark, d):
-    """Components clipped to the tile's middle, with the share that stays visible."""
-    c = tiles(spark, d).where("x0 <= 383 and x1 >= 128 and y0 <= 383 and y1 >= 128")
-    c = c.withColumns({f"c{k}": F.greatest(k, F.lit(128)) for k in ("x0", "y0")} | {f"c{k}": F.least(k, F.lit(383)) for k in ("x1", "y1")})
-    return c.select("tile_id", "component_id", "cx0", "cy0", "cx1", "cy1", ((C("cx1") - C("cx0") + 1) * (C("cy1") - C("cy0") + 1) / C("area_px")).alias("visible"))
-
-
-@query("geo_interior", twin("select tile_id, component_id, (x0 + x1) // 2 as px, (y0 + y1) // 2 as py from comp"))
-def geo_interior(spark, d):
-    """The middle of the run in the middle row."""
-    rows = runs(tiles(spark, d)).where(C("y") == F.floor((C("y0") + C("y1")) / 2))
-    return rows.select("tile_id", "component_id", F.floor((C("xa") + C("xb")) / 2).alias("px"), C("y").alias("py"))
-
-
 # ---- functions ----
 
 

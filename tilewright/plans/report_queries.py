@@ -249,12 +249,6 @@ def prog_prompt_join(spark, d):
     return rows.withColumn("k", (C("conv_id") % 20).cast("long")).join(known, "k").select("conv_id", "program", "n_turns")
 
 
-@query("top_oracle", twin("select tile_id, arg_max(component_id, area_px * 1000 + component_id) as current, arg_max(component_id, confidence * 1000000 + component_id) as oracle from comp group by tile_id"))
-def top_oracle(spark, d):
-    best = lambda k: F.max_by("component_id", F.struct(k, "component_id"))
-    return tiles(spark, d).groupBy("tile_id").agg(best("area_px").alias("current"), best("confidence").alias("oracle"))
-
-
 @query("top_policy", twin("select tile_id, component_id as choice from (select *, row_number() over (partition by tile_id order by border, tiny, area_px desc, component_id) r from comp) where r = 1"))
 def top_policy(spark, d):
     order = F.struct("border", "tiny", -C("area_px"), "component_id")
@@ -439,22 +433,8 @@ def _pair_metric(name, sql, column, alias):
         return both(spark, d).select(*ids(), column().alias(alias))
 
 
-_pair_metric("met_iou", "i / (aarea + barea - i)", iou, "iou")
-_pair_metric("met_dice", "2 * i / (aarea + barea)", lambda: 2 * C("i") / (C("a_area_px") + C("b_area_px")), "dice")
 _pair_metric("met_box_l1", "abs(ax0 - bx0) + abs(ay0 - by0) + abs(ax1 - bx1) + abs(ay1 - by1)", lambda: sum(F.abs(C(f"a_{k}") - C(f"b_{k}")) for k in ("x0", "y0", "x1", "y1")), "l1")
 _pair_metric("met_centroid", "sqrt((acx - bcx) * (acx - bcx) + (acy - bcy) * (acy - bcy)) / sqrt(524288.0::double)", lambda: F.sqrt((C("a_cx") - C("b_cx")) * (C("a_cx") - C("b_cx")) + (C("a_cy") - C("b_cy")) * (C("a_cy") - C("b_cy"))) / DEFAULT.diagonal, "error")
-_pair_metric("til_iou", "case when i > 0 then i / least(aarea, barea) else 0 end", lambda: F.when(C("i") > 0, C("i") / F.least("a_area_px", "b_area_px")).otherwise(0), "compact")
-
-
-@query("met_precision_recall", twin(f"select tile_id, aid, bid, i / aarea as precision, i / barea as recall from (select *, {_IOU_SQL} as i from pr where aid < bid)"))
-def met_precision_recall(spark, d):
-    return both(spark, d).select(*ids(), (C("i") / C("a_area_px")).alias("precision"), (C("i") / C("b_area_px")).alias("recall"))
-
-
-@query("met_recall", twin(f"select t, avg(case when best >= t then 1.0::double else 0.0::double end) as recall from (select tile_id, aid, max(i / (aarea + barea - i)) as best from (select *, {_IOU_SQL} as i from pr) group by 1, 2), (values (0.1::double), (0.3::double), (0.5::double)) v(t) group by t"))
-def met_recall(spark, d):
-    best = both(spark, d, False).groupBy("tile_id", "a_component_id").agg(F.max(iou()).alias("best"))
-    return best.withColumn("t", F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(0.5)))).groupBy("t").agg(F.avg(F.when(C("best") >= C("t"), 1.0).otherwise(0.0)).alias("recall"))
 
 
 @query("met_auprc", "select sum(tp / n * d) / sum(d) as average_precision from (select sum(pos) over w as tp, sum(n) over w as n, pos as d from (select n_chars as s, count(*) n, sum(toxic) pos from labels join documents using (doc_id) group by 1) window w as (order by s desc))")
@@ -465,13 +445,6 @@ def met_auprc(spark, d):
     return rows.agg((F.sum(C("tp") / C("n") * C("d")) / F.sum("d")).alias("average_precision"))
 
 
-@query("met_modes", twin(f"select mode, count(*) as n from (select tile_id, aid, case count(*) filter (i >= 0.5 * aarea) when 0 then 'none' when 1 then 'one' else 'many' end as mode from (select *, {_IOU_SQL} as i from pr) group by 1, 2) group by mode"))
-def met_modes(spark, d):
-    k = F.count_if(C("i") >= 0.5 * C("a_area_px"))
-    rows = both(spark, d, False).groupBy("tile_id", "a_component_id").agg(F.when(k == 0, "none").when(k == 1, "one").otherwise("many").alias("mode"))
-    return rows.groupBy("mode").agg(F.count("*").alias("n"))
-
-
 @query("met_exact", twin("select which, count(*) as n, avg(case when subject = target then 1.0::double else 0.0::double end) as exact from sem join siz on siz.tile_id = sem.tile_id and relation = which group by which"))
 def met_exact(spark, d):
     c = tiles(spark, d)

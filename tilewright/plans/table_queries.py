@@ -65,24 +65,6 @@ def met_box_iou(spark, d):
     return G.pairs(tiles(spark, d), True).where(overlap() > 0).select("tile_id", F.col("a_component_id").alias("aid"), F.col("b_component_id").alias("bid"), iou().alias("iou"))
 
 
-@query("met_best_iou", twin(f"select tile_id, aid, coalesce(max(i / (aarea + barea - i)), 0) as best from (select *, {_IOU_SQL} as i from pr) group by 1, 2"))
-def met_best_iou(spark, d):
-    return G.pairs(tiles(spark, d)).groupBy("tile_id", F.col("a_component_id").alias("aid")).agg(F.coalesce(F.max(iou()), F.lit(0.0)).alias("best"))
-
-
-@query("join_iou_match", twin(f"select tile_id, aid, bid, v as iou from (select *, row_number() over (partition by tile_id, aid order by v desc, bid) r from (select *, i / (aarea + barea - i) v from (select *, {_IOU_SQL} as i from pr))) where r = 1 and v >= 0.2"))
-def join_iou_match(spark, d):
-    rows = G.pairs(tiles(spark, d)).withColumn("iou", iou()).where("iou >= 0.2")
-    best = rows.groupBy("tile_id", F.col("a_component_id").alias("aid")).agg(F.max_by(F.struct("b_component_id", "iou"), F.struct("iou", -F.col("b_component_id"))).alias("m"))
-    return best.select("tile_id", "aid", F.col("m.b_component_id").alias("bid"), F.col("m.iou").alias("iou"))
-
-
-@query("join_overlap_share", twin(f"select tile_id, aid, count(*) filter (i >= 0.5 * barea) as n_inside, count(*) filter (i >= 0.5 * aarea) as n_holders from (select *, {_IOU_SQL} as i from pr) group by 1, 2"))
-def join_overlap_share(spark, d):
-    rows = G.pairs(tiles(spark, d)).withColumn("i", overlap())
-    return rows.groupBy("tile_id", F.col("a_component_id").alias("aid")).agg(F.count_if(F.col("i") >= 0.5 * F.col("b_area_px")).alias("n_inside"), F.count_if(F.col("i") >= 0.5 * F.col("a_area_px")).alias("n_holders"))
-
-
 @query("join_full_outer_compare", twin("select coalesce(a.tile_id, b.tile_id) as tile_id, coalesce(a.relation, b.which) as kind, a.subject as engine, b.target as semantic, case when a.subject is null then 'only_semantic' when b.target is null then 'only_engine' when a.subject = b.target then 'same' else 'changed' end as status from (select * from siz where reason is null) a full join (select * from sem where reason is null and n > 1) b on a.tile_id = b.tile_id and a.relation = b.which"))
 def join_full_outer_compare(spark, d):
     from ..operators.semantic import size_winners

@@ -7,17 +7,20 @@ inside which its share is (c + 1) / (words + different words + 1), so that the
 shares of all words, unknown ones included, sum to 1. The network predicts the
 class and, for frequent words, the word in it.
 
-Training is data-parallel: documents are dealt to shards of about
-``shard_tokens`` tokens, each shard runs truncated backpropagation in numpy from
-the same weights, and the weights are averaged in a tree of small groups, for
-``rounds`` rounds. Every training document is trained on in every round,
+Training is data-parallel and one pass long: documents are dealt by a hash of
+their kept columns and text to shards of about ``shard_tokens`` tokens, and the
+shards to ``rounds`` rounds. In each round its shards run truncated
+backpropagation in numpy from the same weights, and the weights are averaged in
+a tree of small groups. So every training document is trained on once, whole,
 whatever the size of the corpus. All documents are scored whole, state carried across
 windows; words outside the ``lookup`` most frequent ones meet their counts in a
 join, so the full vocabulary is never broadcast or collected.
 
 Defined cases: a null or empty text is its end alone; a null id is not held out;
-without training documents every count is 0; repeated rows are scored each; an
-empty table gives no rows; extra columns are ignored.
+without training documents every count is 0; repeated rows are scored each and
+trained on in one shard; a very long text is one row of its shard, cut into
+lanes in training and scored window by window; words with equal counts are
+ranked by name; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import ascii_lower, discard, held_out, materialise, read_table
+from .common import arrow_batches, ascii_lower, discard, held_out, materialise, read_table
 
 WORDS = 2047
 CLASSES = 32
 N_TAILS = 32
 HIDDEN = 32
 LOOKUP = 200_000
-SHARD_TOKENS = 400_000
+SHARD_TOKENS = 1_000_000
 ROUNDS = 3
 FAN = 32
 BLOCK = 16_384
@@ -79,9 +82,14 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of all words of ``text``."""
-    words = F.explode(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+"))
-    return docs.select(words.alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    """(word, c) of all words of ``text``, counted by batch before they are grouped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(tokens(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
+
+    return arrow_batches(docs.select("text"), "32m").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -138,17 +146,17 @@ def average(parts: DataFrame, fan: int = FAN) -> DataFrame:
 
 
 def train_rounds(dealt: DataFrame, vocabulary: Vocabulary, rounds: int, n_shards: int) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` rounds of training on each shard of (shard, text) and averaging."""
-    shape = vocabulary.shape
+    """Weights after one pass over (shard, rank, text): each round trains on its shards, number modulo ``rounds``, and averages."""
+    shape, spark = vocabulary.shape, dealt.sparkSession
     p = gru.initial(shape, vocabulary.start_counts)
     names = sorted(p)
     lines = materialise(encode_texts(dealt, vocabulary), "lm-lines")
 
-    def learner(now, rate):
+    def learner(shared, rate):
         def learn(group):
             docs = [np.frombuffer(x.as_buffer(), np.int32) for x in group.sort_by([("rank", "ascending"), ("ids", "ascending")])["ids"]]
             lengths = np.array([len(d) for d in docs], np.int64)
-            new = gru.train(now, shape, np.concatenate(docs), np.cumsum(lengths) - lengths, lengths, rate=rate)
+            new = gru.train(shared.value, shape, np.concatenate(docs), np.cumsum(lengths) - lengths, lengths, rate=rate)
             flat = np.concatenate([new[n].ravel() for n in names]).astype(np.float32)
             blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
             n = len(blocks)
@@ -157,26 +165,31 @@ def train_rounds(dealt: DataFrame, vocabulary: Vocabulary, rounds: int, n_shards
         return learn
 
     for k in range(rounds):
-        learned = materialise(lines.repartition(n_shards, "shard").groupBy("shard").applyInArrow(learner(p, 0.1 / (1 + k / 2)), "shard int, tokens long, block int, part binary"), "lm-weights")
+        mine = lines.where(F.col("shard") % rounds == k)
+        shared = spark.sparkContext.broadcast(p)  # one set of weights, of a size that ``words`` and ``hidden`` fix
+        one_each = mine.repartitionByRange(-(-n_shards // rounds), "shard")  # a shard a partition
+        learned = materialise(one_each.groupBy("shard").applyInArrow(learner(shared, 0.1 / (1 + k / 2)), "shard int, tokens long, block int, part binary"), "lm-weights")
         found = average(learned).orderBy("block").collect()  # one set of weights
-        if not found:
-            break
-        flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in found])
-        ends = np.cumsum([p[n].size for n in names])
-        p = {n: flat[e - p[n].size : e].reshape(p[n].shape).copy() for n, e in zip(names, ends, strict=True)}
+        shared.unpersist()
+        if found:
+            flat = np.concatenate([np.frombuffer(r.part, np.float32) for r in found])
+            ends = np.cumsum([p[n].size for n in names])
+            p = {n: flat[e - p[n].size : e].reshape(p[n].shape).copy() for n, e in zip(names, ends, strict=True)}
         discard(learned)
     discard(lines)
     return p
 
 
 def encode_texts(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    shared = dealt.sparkSession.sparkContext.broadcast(vocabulary)  # ``lookup`` words at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lengths, _, _ = vocabulary.encode(batch.column(2))
+            ids, lengths, _, _ = shared.value.encode(batch.column(2))
             ends = np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())], ["shard", "rank", "ids"])
 
-    return dealt.select("shard", "rank", "text").mapInArrow(run, "shard int, rank long, ids binary")
+    return arrow_batches(dealt.select("shard", "rank", "text")).mapInArrow(run, "shard int, rank long, ids binary")
 
 
 def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (), text: str = "text", seed: int = 5, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS, lookup: int = LOOKUP, words: int = WORDS, classes: int = CLASSES, n_tails: int = N_TAILS, hidden: int = HIDDEN) -> DataFrame:
@@ -195,15 +208,17 @@ def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (),
     vocabulary = Vocabulary(top["word"].combine_chunks().cast(pa.string()) if len(top) else pa.array([], pa.string()), top["c"].to_numpy().astype(np.int64), n_docs, tail_sums, total, distinct, words, classes, n_tails, hidden)
 
     n_shards = max(1, math.ceil(total / shard_tokens))
-    ranked = learn.withColumn("rank", F.xxhash64(F.lit(seed), "text"))
-    dealt = ranked.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "rank", F.monotonically_increasing_id()), F.lit(n_shards)).cast("int"))
+    ranked = learn.withColumn("rank", F.xxhash64(F.lit(seed), "text", *(f"k{i}" for i in range(len(keep)))))
+    dealt = ranked.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "rank"), F.lit(n_shards)).cast("int"))
     weights = train_rounds(dealt, vocabulary, rounds, n_shards)
 
     log_end = math.log10(((n_docs or 0) + 1) / (total + distinct + 1))
     out = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
     n = len(keep)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weights = shared.value
         log_base = np.log10((vocabulary.counts + 1) / (total + distinct + 1))
         for batch in batches:
             ids, lengths, at, said = vocabulary.encode(batch.column(n))
@@ -220,7 +235,7 @@ def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (),
             has = np.bincount(of_known, minlength=m) + (n_docs > 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare"])
 
-    scored = rows.select(*(f"k{i}" for i in range(n)), "text").mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
+    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text"), "64m").mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
     scored = materialise(scored.withColumn("row_id", F.monotonically_increasing_id()), "lm-scores")
 
     # words outside the lookup meet their counts

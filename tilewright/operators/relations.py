@@ -17,7 +17,8 @@ def rejection(relation: str, prefix: str = "", anchor: bool = False) -> Column:
     """The first flag that makes a component ineligible, or null."""
     rule = _RULES[relation]
     c = lambda k: F.col(f"{prefix}_{k}" if prefix else k)
-    tests = ([(c("border"), "border_anchor")] if anchor and rule.anchor_border else []) + [(c(k), name) for k, name, on in (("border", "touches_border", rule.border), ("mrg", "suspicious_merge", rule.merge), ("tiny", "tiny_fragment", rule.tiny)) if on]
+    border = rule.border or (anchor and rule.anchor_border)
+    tests = [(c(k), name) for k, name, on in (("border", "component_touches_image_border", border), ("mrg", "component_suspected_large_merge", rule.merge), ("tiny", "component_tiny", rule.tiny)) if on]
     return F.coalesce(*(F.when(test, F.lit(name)) for test, name in tests), F.lit(None).cast("string")) if tests else F.lit(None).cast("string")
 
 

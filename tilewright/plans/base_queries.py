@@ -46,7 +46,7 @@ def agg_quality_counts(spark, d):
     return tiles(spark, d).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(f"n_{k}") for c, k in (("border", "border"), ("mrg", "merge"), ("tiny", "tiny"))))
 
 
-_RULE_SQL = "case when rborder and border then 'touches_border' when rmerge and mrg then 'suspicious_merge' when rtiny and tiny then 'tiny_fragment' end"
+_RULE_SQL = "case when rborder and border then 'component_touches_image_border' when rmerge and mrg then 'component_suspected_large_merge' when rtiny and tiny then 'component_tiny' end"
 _RULES_SQL = "(values ('left_of', false, false, false), ('right_of', false, false, false), ('above', false, false, false), ('below', false, false, false), ('leftmost', false, false, false), ('rightmost', false, false, false), ('topmost', false, false, false), ('bottommost', false, false, false), ('nearest', true, true, true), ('largest', true, true, false), ('smallest', true, true, true)) u(relation, rborder, rmerge, rtiny)"
 
 
@@ -55,7 +55,7 @@ def rule_rows(spark, d):
     return tiles(spark, d).select("tile_id", "component_id", F.inline(kinds))
 
 
-@query("flt_eligibility", twin(f"select tile_id, component_id, relation, {_RULE_SQL} as reason, case when relation = 'nearest' and border then 'border_anchor' else {_RULE_SQL} end as anchor_reason from comp, {_RULES_SQL}"))
+@query("flt_eligibility", twin(f"select tile_id, component_id, relation, {_RULE_SQL} as reason, {_RULE_SQL} as anchor_reason from comp, {_RULES_SQL}"))
 def flt_eligibility(spark, d):
     return rule_rows(spark, d)
 

@@ -9,6 +9,7 @@ from ..config import DEFAULT, DIRECTIONS, EXTREMES, SIZES, Config
 from ..operators.relations import eligible, extremes, union_all
 from ..operators.semantic import around, candidates, references, size_winners, winners
 
+C = F.col
 COLUMNS = ("tile_id", "level", "query_type", "reference", "target", "reason", "trivial")
 
 
@@ -65,7 +66,10 @@ def all_levels(components: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def quota_key(config: Config = DEFAULT):
-    return F.sha2(F.concat_ws(":", F.lit(str(config.seed)), F.col("tile_id").cast("string"), "query_type", F.col("target").cast("string")), 256)
+    """The order of selection: a digest over seed, tile, level, type and the digest of tile, canonical program and answer."""
+    tile, target = C("tile_id").cast("string"), C("target").cast("string")
+    semantic = F.sha2(F.concat_ws("|", tile, F.regexp_replace("query_type", "_to_nearest$", ""), target), 256)
+    return F.sha2(F.concat_ws("|", F.lit(str(config.seed)), tile, C("level").cast("string"), "query_type", semantic), 256)
 
 
 def with_quotas(queries: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -42,19 +42,6 @@ def fn_quantize(spark, d):
     return tiles(spark, d).select("tile_id", "component_id", q("x0").alias("qx"), q("y0").alias("qy"))
 
 
-@query("fn_region_mass", twin("select tile_id, component_id, greatest(0, least(x1, 255) - x0 + 1) / w as left_mass, 1 - greatest(0, least(x1, 255) - x0 + 1) / w as right_mass from comp"))
-def fn_region_mass(spark, d):
-    left = F.greatest(F.lit(0), F.least(C("x1"), F.lit(255)) - C("x0") + 1) / C("w")
-    return tiles(spark, d).select("tile_id", "component_id", left.alias("left_mass"), (1 - left).alias("right_mass"))
-
-
-@query("fn_pair_loss", twin("select p.tile_id, aid, bid, greatest(0.0::double, 0.1::double - (a.confidence - b.confidence)) as bounded, ln(1 + exp(-(a.confidence - b.confidence))) as softplus from pr p join comp a on a.tile_id = p.tile_id and a.component_id = aid join comp b on b.tile_id = p.tile_id and b.component_id = bid"))
-def fn_pair_loss(spark, d):
-    a, b = (tiles(spark, d).select("tile_id", C("component_id").alias(f"{k}id"), C("confidence").alias(k)) for k in "ab")
-    gap = C("a") - C("b")
-    return a.join(b, "tile_id").where("aid != bid").select("tile_id", "aid", "bid", F.greatest(F.lit(0.0), 0.1 - gap).alias("bounded"), F.log(1 + F.exp(-gap)).alias("softplus"))
-
-
 @query("fn_expand_box", twin("select tile_id, component_id, greatest(0, x0 - cast(ceil(w * 0.1::double) as bigint)) as ex0, greatest(0, y0 - cast(ceil(h * 0.1::double) as bigint)) as ey0, least(511, x1 + cast(ceil(w * 0.1::double) as bigint)) as ex1, least(511, y1 + cast(ceil(h * 0.1::double) as bigint)) as ey1 from comp"))
 def fn_expand_box(spark, d):
     m = {"x": F.ceil(C("w") * 0.1), "y": F.ceil(C("h") * 0.1)}
@@ -63,69 +50,11 @@ def fn_expand_box(spark, d):
     return tiles(spark, d).select("tile_id", "component_id", *lows, *highs)
 
 
-# ---- fields ----
-
-
-_GRID = "(select r.tile_id, r.rid, c.cx, c.cy, (v + 0.5::double) / 8 gx, (u + 0.5::double) / 8 gy from ref r join comp c on c.tile_id = r.tile_id and c.component_id = r.rid, range(0, 8) a(u), range(0, 8) b(v) where r.which = 'largest')"
-
-
-def grid(spark, d):
-    """An 8 x 8 grid of cell centres (gx, gy) around the largest component of each tile that has one to name."""
-    refs = references(tiles(spark, d)).where("which = 'largest'").select("tile_id", C("r_component_id").alias("rid"), C("r_cx").alias("cx"), C("r_cy").alias("cy"))
-    k = F.sequence(F.lit(0), F.lit(7))
-    rows = refs.withColumn("u", F.explode(k)).withColumn("v", F.explode(k))
-    return rows.withColumns({"gx": (C("v") + 0.5) / 8, "gy": (C("u") + 0.5) / 8})
-
-
-@query("fld_direction", twin(f"select tile_id, rid, avg(greatest(0.0::double, least(1.0::double, (cx + 0.5) / 512 - gx))) as left_of, avg(greatest(0.0::double, least(1.0::double, (cy + 0.5) / 512 - gy))) as above from {_GRID} group by 1, 2"))
-def fld_direction(spark, d):
-    """Mean of the directional fields left of and above each reference over the grid."""
-    value = lambda c, g: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (C(c) + 0.5) / 512 - C(g)))
-    return grid(spark, d).groupBy("tile_id", "rid").agg(F.avg(value("cx", "gx")).alias("left_of"), F.avg(value("cy", "gy")).alias("above"))
-
-
 @query("fld_centroid", twin("select tile_id, component_id, (cx + 0.5) / 512 as u, (cy + 0.5) / 512 as v from comp"))
 def fld_centroid(spark, d):
     return tiles(spark, d).select("tile_id", "component_id", ((C("cx") + 0.5) / 512).alias("u"), ((C("cy") + 0.5) / 512).alias("v"))
 
 
-@query("fld_nearest", twin("select tile_id, aid, bid, exp(-gap / 128) as value from pg"))
-def fld_nearest(spark, d):
-    return G.pairs(tiles(spark, d)).select(*ids(), F.exp(-G.boundary_gap() / 128).alias("value"))
-
-
-_SCORE = "greatest(0.0::double, (acx - bcx) / 512) * exp(-gap / 128)"
-
-
-def field_scores(spark, d):
-    """The product of the left-of field and the nearest field of a, at the centre of b."""
-    left = F.greatest(F.lit(0.0), (C("a_cx") - C("b_cx")) / 512)
-    return G.pairs(tiles(spark, d)).select(*ids(), left.alias("left"), F.exp(-G.boundary_gap() / 128).alias("near")).withColumn("value", C("left") * C("near"))
-
-
-@query("fld_score", twin("select tile_id, aid, bid, greatest(0.0::double, (acx - bcx) / 512) as score from pg"))
-def fld_score(spark, d):
-    return field_scores(spark, d).select("tile_id", "aid", "bid", C("left").alias("score"))
-
-
-@query("fld_product", twin(f"select tile_id, aid, bid, {_SCORE} as value from pg"))
-def fld_product(spark, d):
-    return field_scores(spark, d).select("tile_id", "aid", "bid", "value")
-
-
-@query("fld_rank", twin("select tile_id, aid, bid, row_number() over (partition by tile_id, aid order by gap, bid) as rank from pg"))
-def fld_rank(spark, d):
-    """Candidates of each reference by the nearest field, ties to the smaller id."""
-    w = Window.partitionBy("tile_id", "aid").orderBy("gap", "bid")
-    return G.pairs(tiles(spark, d)).select(*ids(), G.boundary_gap().alias("gap")).select("tile_id", "aid", "bid", F.row_number().over(w).alias("rank"))
-
-
-@query("fld_normalize", twin("select tile_id, aid, bid, exp(-gap / 128) / sum(exp(-gap / 128)) over (partition by tile_id, aid) as share from pg"))
-def fld_normalize(spark, d):
-    w = Window.partitionBy("tile_id", "aid")
-    return field_scores(spark, d).select("tile_id", "aid", "bid", (C("near") / F.sum("near").over(w)).alias("share"))
-
-
 # ---- features ----
 
 
@@ -182,13 +111,6 @@ def vec_cosine(spark, d):
     return both.groupBy("label").agg(F.avg(cosine).alias("cosine"), F.count("*").alias("n"))
 
 
-@query("vec_centered", f"select e.label, avg(sqrt(list_sum(list_transform(list_zip(embedding, proto), lambda z: (cast(z[1] as double) - z[2]) * (cast(z[1] as double) - z[2]))))) as spread from embeddings e join {_PROTO} p on p.label = e.label group by e.label")
-def vec_centered(spark, d):
-    rows = table(spark, d, "embeddings").select("label", "embedding")
-    centred = F.zip_with("embedding", "proto", lambda x, y: x.cast("double") - y)
-    return rows.join(prototypes(rows), "label").withColumn("c", centred).groupBy("label").agg(F.avg(F.sqrt(dot("c", "c"))).alias("spread"))
-
-
 @query("vec_pairwise", f"select label, (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) as mean_cosine from (select label, i, sum(cast(embedding[i] as double) / sqrt(q)) as s, count(*) as n from (select label, embedding, {_NORM} as q from embeddings), range(1, 65) t(i) group by 1, 2) group by label having max(n) > 1")
 def vec_pairwise(spark, d):
     """Mean cosine of all pairs of a label from the sum of its unit vectors, without making a pair."""
@@ -196,49 +118,3 @@ def vec_pairwise(spark, d):
     by = rows.select("label", "q", F.posexplode("embedding").alias("p", "x")).groupBy("label", "p").agg(F.sum(C("x").cast("double") / C("q")).alias("s"), F.count("*").alias("n"))
     n = F.max("n")
     return by.groupBy("label").agg(((F.sum(C("s") * C("s")) - n) / (n * (n - 1))).alias("mean_cosine"), n.alias("n")).where("n > 1").select("label", "mean_cosine")
-
-
-@query("vec_dist_corr", f"select round(corr(sqrt({_NORM}), cast(label as double)), 6) as correlation, count(*) as n from embeddings")
-def vec_dist_corr(spark, d):
-    return table(spark, d, "embeddings").agg(F.round(F.corr(F.sqrt(dot("embedding", "embedding")), C("label").cast("double")), 6).alias("correlation"), F.count("*").alias("n"))
-
-
-# ---- large images: an image of 4 x 4 neighbouring tiles ----
-
-
-@query("til_plan", "select tile_, y0, x0, y0 + 511 as y1, x0 + 511 as x1 from (select r * 5 + c as tile_, least(r * 448, 2048 - 512) as y0, least(c * 448, 2048 - 512) as x0 from range(0, 5) a(r), range(0, 5) b(c))")
-def til_plan(spark, d):
-    """Tiles of 512 pixels that overlap by 64 over an image of 2048, the last ones shifted inside."""
-    k = spark.range(25).select(C("id").alias("tile_"), F.floor(C("id") / 5).alias("r"), (C("id") % 5).alias("c"))
-    at = k.select("tile_", F.least(C("r") * 448, F.lit(1536)).alias("y0"), F.least(C("c") * 448, F.lit(1536)).alias("x0"))
-    return at.select("tile_", "y0", "x0", (C("y0") + 511).alias("y1"), (C("x0") + 511).alias("x1"))
-
-
-_BIG = "(select *, tile_id // 16 as image, tile_id % 4 * 512 as ox, tile_id // 4 % 4 * 512 as oy from comp)"
-
-
-def big(spark, d):
-    t = C("tile_id")
-    return tiles(spark, d).withColumns({"image": F.floor(t / 16), "ox": t % 4 * 512, "oy": F.floor(t / 4) % 4 * 512})
-
-
-@query("til_context", twin(f"select image, tile_id, component_id, ox + x0 as gx0, oy + y0 as gy0, cx >= 128 and cx <= 383 and cy >= 128 and cy <= 383 as inside, greatest(0, least(2048 - 512, ox + x0 + w // 2 - 256)) as anchor_x, greatest(0, least(2048 - 512, oy + y0 + h // 2 - 256)) as anchor_y from {_BIG}"))
-def til_context(spark, d):
-    anchor = lambda o, lo, n: F.greatest(F.lit(0), F.least(F.lit(1536), C(o) + C(lo) + F.floor(C(n) / 2) - 256))
-    inside = C("cx").between(128, 383) & C("cy").between(128, 383)
-    return big(spark, d).select("image", "tile_id", "component_id", (C("ox") + C("x0")).alias("gx0"), (C("oy") + C("y0")).alias("gy0"), inside.alias("inside"), anchor("ox", "x0", "w").alias("anchor_x"), anchor("oy", "y0", "h").alias("anchor_y"))
-
-
-@query("til_half_plane", twin(f"select image, count(*) filter (ox + cx < mx) as n_left, count(*) filter (ox + cx > mx) as n_right from (select *, avg(ox + cx) over (partition by image) mx from {_BIG}) group by image"))
-def til_half_plane(spark, d):
-    x = C("ox") + C("cx")
-    b = big(spark, d).select("image", x.alias("x"))
-    middle = b.groupBy("image").agg(F.avg("x").alias("mx"))
-    return b.join(middle, "image").groupBy("image").agg(F.count_if(C("x") < C("mx")).alias("n_left"), F.count_if(C("x") > C("mx")).alias("n_right"))
-
-
-@query("til_reflect", twin("select tile_id, component_id, abs(x0 - 64) as rx0, 511 - abs(511 - (x1 + 64)) as rx1 from comp"))
-def til_reflect(spark, d):
-    """Columns that a crop with 64 pixels of margin reads, reflected at the image's edges."""
-    mirror = lambda x: F.lit(511) - F.abs(F.lit(511) - F.abs(x))
-    return tiles(spark, d).select("tile_id", "component_id", mirror(C("x0") - 64).alias("rx0"), mirror(C("x1") + 64).alias("rx1"))

@@ -290,7 +290,7 @@ def _repaired():
 
 
 def _sql_grid(v: str) -> str:
-    return f"least(round_even({v} / 32.0::double, 0), 15)"
+    return f"least(round_even(({v}) / 32.0::double, 0), 15)"
 
 
 def _sql_side(k: str, by: str) -> str:
@@ -304,10 +304,9 @@ def _sql_side(k: str, by: str) -> str:
     shape_twin(
         f"""select o.tile_id, o.component_id, o.sa as area, cast(case when kind = 2 then 1 else 0 end as bigint) as n_holes, cast(case when kind = 2 then (ux1 - ux0) * (uy1 - uy0) else 0 end as double) as hole_area, bad as repaired,
         case when bad then g.xl end as rx0, case when bad then g.yl end as ry0, case when bad then g.xh end as rx1, case when bad then g.yh end as ry1
-        from (select *, ex <> case when kind = 3 then ux0 - 1 else x1 end and false as none_,
-                     not (({_sql_grid("x0")} <> {_sql_grid("case when kind = 3 then ux0 - 1 else x1 end")} and {_sql_grid("y0")} <> {_sql_grid("y1")})
+        from (select *, not (({_sql_grid("x0")} <> {_sql_grid("case when kind = 3 then ux0 - 1 else x1 end")} and {_sql_grid("y0")} <> {_sql_grid("y1")})
                           or (kind = 1 and len(list_distinct([{_sql_grid("x0")} * 100 + {_sql_grid("y0")}, {_sql_grid("ux0 - 1")} * 100 + {_sql_grid("y0")}, {_sql_grid("ux0 - 1")} * 100 + {_sql_grid("uy1 + 1")}, {_sql_grid("x1")} * 100 + {_sql_grid("uy1 + 1")}, {_sql_grid("x1")} * 100 + {_sql_grid("y1")}, {_sql_grid("x0")} * 100 + {_sql_grid("y1")}])) >= 3)) as bad
-              from (select *, x1 as ex from rng where number = 0)) o
+              from rng where number = 0) o
         join (select tile_id, component_id, arg_min(xl, k) xl, arg_min(yl, k) yl, arg_min(xh, k) xh, arg_min(yh, k) yh from (
                 select *, case when least(round_even(xl, 0), 15) <> least(round_even(xh, 0), 15) and least(round_even(yl, 0), 15) <> least(round_even(yh, 0), 15) then gx * 3 + gy else 99 end as k
                 from (select tile_id, component_id, gx, gy, {_sql_side("x", "gx")}, {_sql_side("y", "gy")} from shp, range(0, 3) t(gx), range(0, 3) u(gy))) group by 1, 2) g

@@ -175,11 +175,6 @@ def agg_geometry_report(spark, d):
     return tiles(spark, d).agg(*(f(c).alias(f"{k}_{c[1]}") for c in ("cx", "cy") for k, f in (("mean", F.avg), ("median", F.median), ("sd", F.stddev_pop))))
 
 
-@query("agg_language", "select lang, count(*) as n, exp(least(avg(n_chars / 1000.0::double), 50)) as perplexity from documents group by lang")
-def agg_language(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.exp(F.least(F.avg(F.col("n_chars") / 1000.0), F.lit(50))).alias("perplexity"))
-
-
 @query("agg_collect_set", "select t as text, string_agg(distinct role, ',' order by role) as roles from (select lower(trim(text)) t, role from conversations) group by t")
 def agg_collect_set(spark, d):
     rows = table(spark, d, "conversations").select(F.lower(F.trim("text")).alias("text"), "role")
@@ -197,14 +192,6 @@ def agg_seed_stats(spark, d):
     return R.sizes(tiles(spark, d)).groupBy("relation").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n"))
 
 
-@query("agg_failure_buckets", twin("select case when n < 2 then 'single' when reason = 'semantic_ambiguous' then 'margin' when reason is not null then 'flag' else 'fine' end as bucket, which, count(*) as k from sem group by 1, 2"))
-def agg_failure_buckets(spark, d):
-    from ..operators.semantic import size_winners
-
-    bucket = F.when(F.col("n") < 2, "single").when(F.col("reason") == "semantic_ambiguous", "margin").when(F.col("reason").isNotNull(), "flag").otherwise("fine")
-    return size_winners(tiles(spark, d)).groupBy(bucket.alias("bucket"), "which").agg(F.count("*").alias("k"))
-
-
 @query("agg_flag_distribution", twin("select level, count(*) filter (border) as n_border, count(*) filter (tiny) as n_tiny, count(*) as n from smp join comp on comp.tile_id = smp.tile_id and component_id = target group by level"))
 def agg_flag_distribution(spark, d):
     c = tiles(spark, d).select("tile_id", F.col("component_id").alias("target"), "border", "tiny")
@@ -352,17 +339,6 @@ def smp_stratified(spark, d):
     return samples(spark, d).select("tile_id", "query_type", F.row_number().over(w).alias("k")).orderBy("k", "query_type").limit(200)
 
 
-@query("smp_diverse", twin("select tile_id, query_type from (select *, row_number() over (partition by tile_id order by key) f from smp) where f = 1"))
-def smp_diverse(spark, d):
-    return samples(spark, d).groupBy("tile_id").agg(F.min_by("query_type", "key").alias("query_type"))
-
-
-@query("smp_unique_key", twin("select key8, tile_id from (select substr(key, 1, 8) key8, tile_id, row_number() over (partition by substr(key, 1, 2) order by key, tile_id) r from smp) where r = 1"))
-def smp_unique_key(spark, d):
-    best = samples(spark, d).groupBy(F.substring("key", 1, 2).alias("p")).agg(F.min(F.struct("key", "tile_id")).alias("m"))
-    return best.select(F.substring("m.key", 1, 8).alias("key8"), "m.tile_id")
-
-
 # ---- scalar functions ----
 
 
@@ -413,11 +389,6 @@ def date_events(spark, d):
     return table(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("str_normalize", "select conv_id, turn, trim(regexp_replace(lower(text), '[ \\t\\n]+', ' ', 'g')) as normal from conversations")
-def str_normalize(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), "[ \\t\\n]+", " ")).alias("normal"))
-
-
 @query("str_count", "select doc_id, length(text) - length(replace(text, '.', '')) as n_stops, len(string_split(text, chr(10))) as n_lines from documents")
 def str_count(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit(".")))).alias("n_stops"), F.size(F.split("text", "\n")).alias("n_lines"))
@@ -471,12 +442,6 @@ def met_auroc(spark, d):
     return ranked.agg(((F.sum(F.col("r") * F.col("pos")) - p * (p + 1) / 2) / (p * n)).alias("auroc"))
 
 
-@query("met_binary", f"select count(*) filter (y = 1 and s > 1000) as tp, count(*) filter (y = 0 and s > 1000) as fp, count(*) filter (y = 1 and s <= 1000) as fn, count(*) filter (y = 0 and s <= 1000) as tn from {_SCORED}")
-def met_binary(spark, d):
-    y, s = F.col("y") == 1, F.col("s") > 1000
-    return scored(spark, d).agg(F.count_if(y & s).alias("tp"), F.count_if(~y & s).alias("fp"), F.count_if(y & ~s).alias("fn"), F.count_if(~y & ~s).alias("tn"))
-
-
 @query("met_pearson", twin("select corr(w, h) as pearson, count(*) as n from comp"))
 def met_pearson(spark, d):
     return tiles(spark, d).agg(F.corr("w", "h").alias("pearson"), F.count("*").alias("n"))

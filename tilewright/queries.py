@@ -135,7 +135,7 @@ g3 as (
 gen as (select tile_id, level, query_type, reference, case when reason is null then target end target, reason, trivial from (select * from g1 union all select * from g2 union all select * from g3)),
 gq as (
   select *, row_number() over (partition by tile_id, level order by key, query_type) rk
-  from (select *, sha256('20260804:' || tile_id || ':' || query_type || ':' || target) as key from gen where reason is null)),
+  from (select *, sha256('20260804|' || tile_id || '|' || level || '|' || query_type || '|' || sha256(tile_id || '|' || regexp_replace(query_type, '_to_nearest$', '') || '|' || target)) as key from gen where reason is null)),
 smp as (select *, case tile_id % 5 when 0 then 'test' when 1 then 'val' else 'train' end as split from gq where rk <= case level when 1 then 6 when 2 then 4 else 2 end)
 """
 

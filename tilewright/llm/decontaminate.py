@@ -16,7 +16,9 @@ verified once.
 
 Defined cases: null or wordless texts and items hit nothing; an item with a
 null id contaminates but is not listed or counted; repeated items count once by
-id; empty tables give no rows, or no hits; extra columns are ignored.
+id; equally rare shingles go by hash, then position; a very long text is one row of
+all its shingles; repeated documents get equal rows; empty tables give no rows, or
+no hits; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,13 +70,13 @@ def verified_windows(docs: DataFrame, items: DataFrame, text: str = "text", item
         grams = grams.unionByName(part)
     grams = materialise(grams, "decon-shingles")
 
-    # one scan: each document once (p = -1), and its shingles that some item has
-    marker = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h")))
+    # one scan: each document once (p = -1, dealt by its own hash), and its shingles that some item has
+    marker = F.array(F.struct(F.lit(-1).alias("p"), F.xxhash64(*keep, "text_").alias("h")))
     words = docs.select(*keep, F.col(text).alias("text_"), alnum_words(F.col(text)).alias("words"))
     arrays = words.select(*keep, text_key(F.col("text_")).alias("key"), F.size("words").alias("n_words"), F.concat(marker, *(hashed("words", k) for k in sizes)).alias("found"))
     spread = arrays.select(*keep, "key", "n_words", F.inline_outer("found"))  # inline would infer a filter that repeats the words for each shingle
-    wanted = grams.select("h").distinct().union(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
-    matched = materialise(spread.join(bounded(wanted, broadcast_rows), "h"), "decon-matches")
+    wanted = grams.select("h").distinct().withColumn("wanted", F.lit(True))
+    matched = materialise(spread.join(bounded(wanted, broadcast_rows), "h", "left").where("p = -1 or wanted"), "decon-matches")
     documents = matched.where("p = -1").select(*keep, "key", F.col("n_words").cast("long").alias("n_words"))
     matches = matched.where("p >= 0").select("key", "n_words", "p", "h")
 

@@ -9,7 +9,8 @@ map over Arrow batches without a shuffle.
 
 Defined cases: null content gives null type, ``valid`` false and no carved
 media; empty content likewise with length 0; repeated rows give repeated
-results; extra columns of the input are not touched and may have any name.
+results; a very long content is one row, searched and carved whole; extra columns of
+the input are not touched and may have any name.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read_table
+from .common import apart, arrow_batches, read_table
 
 #: Magic numbers (bytes to look for, offset of the file's start before them, type).
 MAGIC = [
@@ -250,15 +252,19 @@ def store_as_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array([DECLARED] * len(sizes))], ["doc_id", "n_bytes", "media", "declared_type"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.encode(F.col(text), "UTF-8").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, media binary, declared_type string")
+    out = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)]).add("n_bytes", "long").add("media", "binary").add("declared_type", "string")
+    return arrow_batches(rows).mapInArrow(run, out)
 
 
 CARVED = pa.list_(pa.struct([("media_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
-SNIFFED = "media_type string, valid boolean, length long, corrected boolean, facts string, data binary, carved array<struct<media_type:string,offset:bigint,length:bigint>>"
+SNIFFED = (
+    T.StructType().add("media_type", "string").add("valid", "boolean").add("length", "long").add("corrected", "boolean").add("facts", "string").add("data", "binary")
+    .add("carved", T.ArrayType(T.StructType().add("media_type", "string").add("offset", "long").add("length", "long")))
+)
 
 
 def sniff_media(df: DataFrame, content: str, declared: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, then what the bytes of ``content`` really are.
+    """The columns ``keep`` (with ``_`` behind a name that a result has, too), then what the bytes of ``content`` really are.
 
     media_type (the declared one where nothing is confirmed at offset 0), valid, length of the
     confirmed file, corrected (the declared type was wrong), facts, data (the sample bytes) and
@@ -284,23 +290,10 @@ def sniff_media(df: DataFrame, content: str, declared: str, keep: list[str]) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], [f"c{i}" for i in range(n + 7)])
 
     rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate([*keep, content, declared])))
-    names = [f"c{i}" for i in range(n + 7)]
-    head = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    tail = [f"c{n + i} {x.split(' ', 1)[1]}" for i, x in enumerate(_fields(SNIFFED))]
-    out = rows.mapInArrow(run, ", ".join(head + tail))
-    return out.select(*(F.col(a).alias(b) for a, b in zip(names, [*keep, *(x.split(" ", 1)[0] for x in _fields(SNIFFED))], strict=True)))
-
-
-def _fields(ddl: str) -> list[str]:
-    parts, depth, now = [], 0, ""
-    for ch in ddl:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            parts.append(now.strip())
-            now = ""
-        else:
-            now += ch
-    return [*parts, now.strip()]
+    out = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)])
+    for i, f in enumerate(SNIFFED.fields):
+        out = out.add(f"c{n + i}", f.dataType)
+    return arrow_batches(rows).mapInArrow(run, out).toDF(*apart(keep, SNIFFED.names), *SNIFFED.names)
 
 
 def feature() -> Column:

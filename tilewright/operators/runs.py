@@ -157,9 +157,13 @@ def overlaps(shaped: DataFrame, a_boxes: bool = False) -> DataFrame:
     return met.groupBy("tile_id", "aid", "bid").agg(F.sum(F.least("xb", "xb_") - F.greatest("xa", "xa_") + 1).alias("i"))
 
 
-def boundary(runs: DataFrame, *by: str) -> DataFrame:
-    """Runs of the pixels that have a 4-neighbour outside: all but those whose neighbours are in."""
+def interior(runs: DataFrame, *by: str) -> DataFrame:
+    """Runs of the pixels whose four neighbours are in, too; disjoint, as the runs of a row are."""
     shift = lambda k, n: runs.select(*by, (C("y") + k).alias("y"), C("xa").alias(f"xa{n}"), C("xb").alias(f"xb{n}"))
     met = runs.join(shift(1, 1), [*by, "y"]).join(shift(-1, 2), [*by, "y"])
-    inside = met.select(*by, "y", F.greatest(C("xa") + 1, "xa1", "xa2").alias("xa"), F.least(C("xb") - 1, "xb1", "xb2").alias("xb")).where("xa <= xb")
-    return without(runs, inside, *by)
+    return met.select(*by, "y", F.greatest(C("xa") + 1, "xa1", "xa2").alias("xa"), F.least(C("xb") - 1, "xb1", "xb2").alias("xb")).where("xa <= xb")
+
+
+def boundary(runs: DataFrame, *by: str) -> DataFrame:
+    """Runs of the pixels that have a 4-neighbour outside."""
+    return without(runs, interior(runs, *by), *by)

@@ -86,7 +86,9 @@ def ras_geometry(spark, d):
 @query("ras_boundary", shape_twin("select tile_id, component_id, cast(case kind when 0 then 2 * w + 2 * h - 4 when 1 then 2 * w + 2 * h - 5 when 2 then 2 * w + 2 * h - 4 + 2 * (ux1 - ux0 + 1) + 2 * (uy1 - uy0 + 1) else 2 * (2 * a + 2 * h - 4) end as bigint) as boundary from shp"))
 def ras_boundary(spark, d):
     """Pixels with a 4-neighbour outside the component; the image's edge counts as outside."""
-    return P.boundary(P.runs_of(shaped(spark, d)), "tile_id", "component_id").groupBy("tile_id", "component_id").agg(F.sum(P.length()).alias("boundary"))
+    s, key = shaped(spark, d), ["tile_id", "component_id"]
+    inner = P.interior(P.runs_of(s), *key).groupBy(*key).agg(F.sum(P.length()).alias("n"))
+    return s.join(inner, key, "left").select(*key, (C("pixels") - F.coalesce("n", F.lit(0))).alias("boundary"))
 
 
 @query("ras_conflicts", shape_twin("select tile_id, cast(sum(i) as bigint) as pixels, count(*) as n_pairs from spr where aid < bid and i > 0 group by tile_id", PAIRS))
@@ -378,10 +380,10 @@ def diamond():
     return _closed((x, y - r), (x + r, y), (x, y + r), (x - r, y))
 
 
-def filled_shapes(spark, d, slanted: bool):
-    """Runs of shapes made again from their rings: outer rings filled, then holes cleared."""
+def filled_shapes(spark, d, slanted: bool, only=None):
+    """Runs of shapes made again from their rings, on the tiles ``only``: outer rings filled, then holes cleared."""
     key = ("tile_id", "component_id")
-    rows = rings(spark, d)
+    rows = rings(spark, d) if only is None else rings(spark, d).join(only, "tile_id", "left_semi")
     if slanted:
         rows = rows.withColumn("ring", F.when(C("kind") == 0, diamond()).otherwise(C("ring")))
     rows = rows.withColumn("hole", signed_area() < 0)
@@ -408,7 +410,7 @@ def val_reclip(spark, d):
     numbered = ids.withColumn("slice", slice_).withColumn("r", F.row_number().over(Window.partitionBy("slice").orderBy("tile_id"))).join(offsets, "slice")
     picked = numbered.where((C("r") + C("offset")) % EVERY == 1).select("tile_id")
     s = shaped(spark, d).join(picked, "tile_id", "left_semi")
-    stored, again = P.runs_of(s), filled_shapes(spark, d, False).join(picked, "tile_id", "left_semi")
+    stored, again = P.runs_of(s), filled_shapes(spark, d, False, picked)
     off = P.without(stored, again, *key).unionByName(P.without(again, stored, *key)).select(*key).distinct().withColumn("off", F.lit(True))
     return s.join(off, key, "left").groupBy("tile_id").agg(F.count("*").alias("n_components"), F.count_if("off").alias("n_differing"), F.sum("pixels").alias("pixels"))
 

@@ -241,8 +241,13 @@ def win_cumulative(spark, d):
 
 @query("win_round_robin", twin("select tile_id, component_id, row_number() over (partition by split, border order by tile_id, component_id) as k from comp"))
 def win_round_robin(spark, d):
-    w = Window.partitionBy("split", "border").orderBy("tile_id", "component_id")
-    return tiles(spark, d).withColumn("split", split_of()).select("tile_id", "component_id", F.row_number().over(w).alias("k"))
+    """Numbers within (split, border): within slices of tiles first, then the counts of the slices before are added, so no group is ranked in one task."""
+    by = ["split", "border"]
+    rows = tiles(spark, d).select("tile_id", "component_id", split_of().alias("split"), "border", F.floor(F.col("tile_id") / 4096).alias("slice"))
+    before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*by, "slice").agg(F.count("*").alias("n")).select(*by, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for 4096 tiles
+    inside = F.row_number().over(Window.partitionBy(*by, "slice").orderBy("tile_id", "component_id"))
+    return rows.withColumn("k", inside).join(offsets, [*by, "slice"]).select("tile_id", "component_id", (F.col("k") + F.col("offset")).alias("k"))
 
 
 @query("win_first_per_group", twin("select tile_id, aid, bid from (select *, row_number() over (partition by tile_id order by aid, bid) r from pr) where r = 1"))
@@ -335,8 +340,12 @@ def smp_key(spark, d):
 
 @query("smp_stratified", twin("select tile_id, query_type, k from (select tile_id, query_type, row_number() over (partition by query_type order by key, tile_id) k from smp) order by k, query_type limit 200"))
 def smp_stratified(spark, d):
-    w = Window.partitionBy("query_type").orderBy("key", "tile_id")
-    return samples(spark, d).select("tile_id", "query_type", F.row_number().over(w).alias("k")).orderBy("k", "query_type").limit(200)
+    """The first 200 by rank within their type; slices of the key give their heads first, so no type is ranked in one task."""
+    rows = samples(spark, d).select("tile_id", "query_type", "key")
+    part = Window.partitionBy("query_type", F.substring("key", 64, 1)).orderBy("key", "tile_id")
+    head = rows.withColumn("k", F.row_number().over(part)).where("k <= 200")
+    whole = Window.partitionBy("query_type").orderBy("key", "tile_id")
+    return head.select("tile_id", "query_type", F.row_number().over(whole).alias("k")).orderBy("k", "query_type").limit(200)
 
 
 # ---- scalar functions ----

@@ -1,5 +1,6 @@
 """The other operators: defined cases, round trips and brute force on small tables."""
 
+import base64
 import gzip
 import hashlib
 import math
@@ -295,6 +296,11 @@ def test_long_records_are_several_members(spark, tmp_path, monkeypatch):
     assert [r.payload_bytes for r in warc.read_warcs(spark, str(tmp_path / "w")).collect()] == [10000]
 
 
+def test_digests_are_base32():
+    for data in (b"", b"abc", bytes(range(256))):
+        assert warc.base32_sha1(data) == base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
 def test_wrong_lengths_are_refused():
     data = warc.arc_header(1) + warc.arc_record(1, 0, "1", "http://a", b"abc")
     assert len(list(warc.parse_arc(data))) == 2

@@ -28,7 +28,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import io
@@ -58,8 +57,14 @@ MEMBER_BYTES = 15 << 20
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
 
+#: Two letters of base 32 for each number of ten bits: the standard encoder takes thrice the digest's own time.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: the alphabet of RFC 4648
+_PAIRS = [a + b for a in _LETTERS for b in _LETTERS]
+
+
 def base32_sha1(data: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "".join([_PAIRS[n >> shift & 1023] for shift in range(150, -1, -10)])
 
 
 # ---- ARC ----
@@ -218,7 +223,7 @@ def warc_rows(records: DataFrame, min_bytes: int = 0, id_type: str = "long", bro
 
 
 def member(data: bytes) -> bytes:
-    squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
+    squeeze = zlib.compressobj(2, zlib.DEFLATED, 31)
     return squeeze.compress(data) + squeeze.flush()
 
 

@@ -16,11 +16,12 @@ from .lm import op5_lm_scoring
 from .media import op10_media_sniffing
 from .mixing import op4_source_mixing
 from .neardup import op9_near_duplicates
+from .ngram_join import op13_ngram_join
 from .packing import op3_token_packing
 from .repair import OP12_SQL, op12_conversation_repair
 from .warc import OP7_SQL, op7_arc_to_warc
 
-QUERIES = (op1_language_id, op2_quality_perplexity, op3_token_packing, op4_source_mixing, op5_lm_scoring, op6_chat_formatting, op7_arc_to_warc, op8_benchmark_decontamination, op9_near_duplicates, op10_media_sniffing, op11_filter_audit, op12_conversation_repair)
+QUERIES = (op1_language_id, op2_quality_perplexity, op3_token_packing, op4_source_mixing, op5_lm_scoring, op6_chat_formatting, op7_arc_to_warc, op8_benchmark_decontamination, op9_near_duplicates, op10_media_sniffing, op11_filter_audit, op12_conversation_repair, op13_ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -121,14 +121,15 @@ def hubs_of(large: DataFrame, passes: int = 2) -> DataFrame:
     return materialise(hubs.select("band", F.col("hub.node").alias("hub")), "dup-hubs")
 
 
-def prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float, sample: int = SAMPLE) -> DataFrame:
+def prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float, more: DataFrame | None = None, allowed: Column | None = None, sample: int = SAMPLE) -> DataFrame:
     """Distinct pairs (a, b) of different classes in a bucket of (band, node, n, label, degree) that can reach the threshold.
 
     The members of each hub's buckets order their shingles alike: by how many of a
     sample of these members have them, then by hash. A pair that overlaps enough has
     its first common shingle within either's prefix, with enough shingles left behind
     it, whatever the order; the sample only makes prefixes rare. Members of a
-    shingle's largest class are not compared with each other.
+    shingle's largest class are not compared with each other. ``allowed`` is a further
+    condition on both nodes' columns in ``more`` (node and others; the second node's end in ``_``).
     """
     hubs = hubs_of(large)
     of_hub = large.join(hubs, "band").select("hub", "node", "n", "label").distinct()
@@ -153,7 +154,10 @@ def prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float, sample: in
     one = met.where("label != top").drop("top")
     two = met.select(*key, *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "left")))
     enough = F.least("left", "left_") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_")) - ROUNDING
-    pairs = one.join(two, key).where((F.col("label") != F.col("label_")) & enough)
+    may = (F.col("label") != F.col("label_")) & enough
+    if more is not None:
+        one, two, may = one.join(more, "node"), two.join(more.toDF(*(f"{c}_" for c in more.columns)), "node_"), may & allowed
+    pairs = one.join(two, key).where(may)
     found = materialise(pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct(), "dup-tries")
     for table in (hubs, of_hub, orders, prefix, met):
         discard(table)

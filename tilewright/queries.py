@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 #: Components, pairs and relations for the DuckDB twins; a twin uses what it needs of them.
 PRELUDE = """
-with raw as (
+with raw as materialized (
   select l_orderkey as tile_id,
          cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as int) as component_id,
          cast(l_partkey as bigint) p, cast(l_suppkey as bigint) s, cast(l_linenumber as bigint) n,
@@ -34,7 +34,7 @@ boxed as (
 placed as (
   select *, case when (n + q) % 11 = 0 then 0 else (p * 37 + n * 71 + e) % (513 - w) end bx,
             case when (n + s) % 13 = 0 then 512 - h else (s * 53 + q * 29 + e) % (513 - h) end as by_ from boxed),
-comp as (
+comp as materialized (
   select tile_id, component_id, cast(bx as int) x0, cast(by_ as int) y0, cast(bx + w - 1 as int) x1, cast(by_ + h - 1 as int) y1,
          cast(w as int) w, cast(h as int) h, cast(w * h as bigint) area_px,
          cast(bx as double) + cast(w - 1 as double) / 2.0::double as cx, cast(by_ as double) + cast(h - 1 as double) / 2.0::double as cy,
@@ -43,15 +43,15 @@ comp as (
          cast((p * 31 + n * 17) % 1000 as double) / 1000.0::double as confidence,
          case tile_id % 5 when 0 then 'test' when 1 then 'val' else 'train' end as split
   from placed),
-pr as (
+pr as materialized (
   select a.tile_id, a.component_id aid, b.component_id bid, a.cx acx, a.cy acy, b.cx bcx, b.cy bcy,
          a.border aborder, a.mrg amrg, a.tiny atiny, b.border bborder, b.mrg bmrg, b.tiny btiny,
          a.area_px aarea, b.area_px barea,
          cast(greatest(0, b.x0 - a.x1, a.x0 - b.x1) as double) gx, cast(greatest(0, b.y0 - a.y1, a.y0 - b.y1) as double) gy,
          a.x0 ax0, a.y0 ay0, a.x1 ax1, a.y1 ay1, b.x0 bx0, b.y0 by0, b.x1 bx1, b.y1 by1
   from comp a join comp b on a.tile_id = b.tile_id and a.component_id <> b.component_id),
-pg as (select *, sqrt(gx * gx + gy * gy) as bgap, greatest(0.0::double, sqrt(gx * gx + gy * gy) - 1) as gap from pr),
-dir as (
+pg as materialized (select *, sqrt(gx * gx + gy * gy) as bgap, greatest(0.0::double, sqrt(gx * gx + gy * gy) - 1) as gap from pr),
+dir as materialized (
   select tile_id, relation, aid, bid, m, o,
          case when not case when relation in ('left_of', 'above') then m < 0 else m > 0 end then 'wrong_direction'
               when abs(m) < 1.2::double * abs(o) then 'axis_not_dominant' when abs(m) < 0.04::double then 'margin_too_small' end as reason
@@ -63,7 +63,7 @@ ext_r as (
   select tile_id, relation, component_id, v, row_number() over w r, lead(v) over w v2, count(*) over (partition by tile_id, relation) n
   from (select tile_id, component_id, unnest(['leftmost', 'rightmost', 'topmost', 'bottommost']) relation, unnest([cx, cx, cy, cy]) v, unnest([1, -1, 1, -1]) sgn from comp)
   window w as (partition by tile_id, relation order by sgn * v, sgn * component_id)),
-ext as (
+ext as materialized (
   select tile_id, relation, component_id subject, v score, abs(v2 - v) margin,
          case when n < 2 then 'too_few_eligible_candidates' when abs(v2 - v) < 4 then 'ambiguous' end reason from ext_r where r = 1),
 siz_r as (
@@ -71,7 +71,7 @@ siz_r as (
   from (select tile_id, component_id, relation, area_px v, ok, sgn from
         (select *, unnest(['largest', 'smallest']) relation, unnest([-1, 1]) sgn, unnest([not border and not mrg, not border and not mrg and not tiny]) ok from comp) where ok)
   window w as (partition by tile_id, relation order by sgn * v, sgn * component_id)),
-siz as (
+siz as materialized (
   select tile_id, relation, component_id subject, cast(v as double) score, greatest(v, v2) / greatest(least(v, v2), 1) margin,
          case when n < 2 then 'too_few_eligible_candidates' when greatest(v, v2) / greatest(least(v, v2), 1) < 1.10::double then 'ambiguous' end reason from siz_r where r = 1),
 nr_r as (
@@ -86,27 +86,27 @@ sem_r as (
   select tile_id, which, component_id, v, ok, row_number() over w r, lead(v) over w v2, count(*) over (partition by tile_id, which) n
   from (select tile_id, component_id, area_px v, unnest(['largest', 'smallest']) which, unnest([-1, 1]) sgn, unnest([not border and not mrg, not border and not mrg and not tiny]) ok from comp)
   window w as (partition by tile_id, which order by sgn * v, sgn * component_id)),
-sem as (
+sem as materialized (
   select tile_id, which, component_id target, n,
          case when greatest(v, v2) / greatest(least(v, v2), 1) < 1.10::double then 'semantic_ambiguous' when not ok then 'semantic_target_ineligible' end reason from sem_r where r = 1),
-ref as (
+ref as materialized (
   select s.tile_id, s.which, s.target rid, not c.border and not c.mrg and not c.tiny as anchor_ok
   from sem s join comp c on c.tile_id = s.tile_id and c.component_id = s.target where s.reason is null and s.n > 1),
-cand as (
+cand as materialized (
   select ref.tile_id, ref.which, ref.rid, ref.anchor_ok, d.relation direction, d.aid cid
   from ref join dir d on d.tile_id = ref.tile_id and d.bid = ref.rid where d.reason is null),
-candg as (
+candg as materialized (
   select cand.*, pg.gap, not pg.bborder and not pg.bmrg and not pg.btiny ok
   from cand join pg on pg.tile_id = cand.tile_id and pg.aid = cand.rid and pg.bid = cand.cid),
 ser as (select *, row_number() over w r, lead(gap) over w g2 from candg window w as (partition by tile_id, which, direction order by gap, cid)),
-l3 as (
+l3 as materialized (
   select tile_id, which, direction, max(case when r = 1 then cid end) target, count(case when ok then 1 end) n_ok,
          bool_or(r = 1 and ok) top_ok, bool_or(r = 1 and coalesce((g2 - gap) / sqrt(524288.0::double) < 0.005::double or g2 - gap < 2, false)) top_close
   from ser group by 1, 2, 3),
 sn_r as (
   select tile_id, aid, bid, gap, not bborder and not bmrg and not btiny ok, row_number() over w r, lead(gap) over w g2 from pg
   window w as (partition by tile_id, aid order by gap, bid)),
-sn as (
+sn as materialized (
   select tile_id, aid anchor, bid target, case when not ok then 'semantic_target_ineligible'
          when (g2 - gap) / sqrt(524288.0::double) < 0.005::double or g2 - gap < 2 then 'semantic_margin_fail' end reason from sn_r where r = 1),
 g1 as (
@@ -132,11 +132,11 @@ g3 as (
        left join l3 on l3.tile_id = ref.tile_id and l3.which = ref.which and l3.direction = d.direction where ref.which = 'largest'
   union all
   select tile_id, 3, which || '_to_' || k || '_to_nearest', null, null, reason, false from sem cross join (values ('left_of'), ('right_of'), ('above'), ('below')) t(k) where n > 1 and reason is not null and which = 'largest'),
-gen as (select tile_id, level, query_type, reference, case when reason is null then target end target, reason, trivial from (select * from g1 union all select * from g2 union all select * from g3)),
-gq as (
+gen as materialized (select tile_id, level, query_type, reference, case when reason is null then target end target, reason, trivial from (select * from g1 union all select * from g2 union all select * from g3)),
+gq as materialized (
   select *, row_number() over (partition by tile_id, level order by key, query_type) rk
   from (select *, sha256('20260804|' || tile_id || '|' || level || '|' || query_type || '|' || sha256(tile_id || '|' || regexp_replace(query_type, '_to_nearest$', '') || '|' || target)) as key from gen where reason is null)),
-smp as (select *, case tile_id % 5 when 0 then 'test' when 1 then 'val' else 'train' end as split from gq where rk <= case level when 1 then 6 when 2 then 4 else 2 end)
+smp as materialized (select *, case tile_id % 5 when 0 then 'test' when 1 then 'val' else 'train' end as split from gq where rk <= case level when 1 then 6 when 2 then 4 else 2 end)
 """
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, DIRECTIONS
+from ..operators import grids as G
 from ..operators import relations as R
 from ..operators import runs as P
 from ..queries import PRELUDE, query
@@ -458,12 +459,6 @@ def geo_interior(spark, d):
 # ---- masks ----
 
 
-def _pixels(runs: pa.StructScalar) -> np.ndarray:
-    y, lo, hi = (runs.values.field(k).to_numpy() for k in ("y", "xa", "xb"))
-    n = hi - lo + 1
-    return np.stack([np.repeat(y, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)], 1).astype(np.float64)
-
-
 @query("met_boundary_disp")
 def met_boundary_disp(spark, d):
     """Mean and 95th percentile of the distances from each boundary pixel of two components that meet to the other's boundary."""
@@ -471,10 +466,12 @@ def met_boundary_disp(spark, d):
     def run(batches):
         for batch in batches:
             mean, high = [], []
-            for a, b in zip(batch.column(3), batch.column(4), strict=True):
-                p, q = _pixels(a), _pixels(b)
-                apart = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
-                ways = np.concatenate([apart.min(1), apart.min(0)])
+            for pair in zip(batch.column(3), batch.column(4), strict=True):
+                sides = [[runs.values.field(k).to_numpy() for k in ("y", "xa", "xb")] for runs in pair]
+                top, left = (min(int(s[k].min()) for s in sides) for k in (0, 1))
+                size = [max(int(s[k].max()) for s in sides) - low + 1 for k, low in ((0, top), (2, left))]
+                p, q = (G.fill_runs(y - top, xa - left, xb - left, *size) for y, xa, xb in sides)
+                ways = np.sqrt(np.concatenate([G.squared_distances(q)[p], G.squared_distances(p)[q]]))
                 mean.append(float(ways.mean()))
                 high.append(float(np.percentile(ways, 95)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mean, pa.float64()), pa.array(high, pa.float64())], ["tile_id", "aid", "bid", "mean_distance", "p95_distance"])

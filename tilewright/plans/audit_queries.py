@@ -467,11 +467,11 @@ def agg_token_report(spark, d):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(C("failure").isNull().cast("int")).alias("valid_rate"), *right, F.avg(F.when(said, error)).alias("bin_error"))
 
 
-@query("arr_steps", f"select p as program, len(s) as n_steps, list_aggregate(list_transform(s, lambda x: case when x in ('largest', 'smallest') then 'arg_size' when x in ('left_of', 'right_of', 'above', 'below') then 'filter_relation:' || x when x = 'nearest' then 'argmin_boundary_distance' else 'arg_axis' end), 'string_agg', ' > ') as operations, len(list_filter(s, lambda x: x in ('left_of', 'right_of', 'above', 'below'))) > 0 as has_filter from (select p, string_split(p, '_to_') s from (select unnest([{', '.join(chr(39) + p + chr(39) for p in PROGRAMS)}]) p))")
+@query("arr_steps", twin("select tile_id, query_type as program, len(s) as n_steps, list_aggregate(list_transform(s, lambda x: case when x in ('largest', 'smallest') then 'arg_size' when x in ('left_of', 'right_of', 'above', 'below') then 'filter_relation:' || x when x = 'nearest' then 'argmin_boundary_distance' else 'arg_axis' end), 'string_agg', ' > ') as operations, len(list_filter(s, lambda x: x in ('left_of', 'right_of', 'above', 'below'))) > 0 as has_filter from (select *, string_split(query_type, '_to_') s from smp)"))
 def arr_steps(spark, d):
-    """Programs as arrays of steps, each a struct whose relation only filters have."""
-    rows = spark.createDataFrame([(p,) for p in PROGRAMS], "program string")
+    """The program of every sample as an array of steps, each a struct whose relation only filters have."""
+    rows = samples(spark, d).withColumnRenamed("query_type", "program")
     step = lambda x: F.struct(F.when(x.isin("largest", "smallest"), "arg_size").when(x.isin(*DIRECTIONS), "filter_relation").when(x == "nearest", "argmin_boundary_distance").otherwise("arg_axis").alias("operation"), F.when(x.isin(*DIRECTIONS), x).alias("relation"))
     rows = rows.withColumn("steps", F.transform(F.split("program", "_to_"), step))
     shown = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["operation"], s["relation"])), " > ")
-    return rows.select("program", F.size("steps").alias("n_steps"), shown.alias("operations"), F.exists("steps", lambda s: s["operation"] == "filter_relation").alias("has_filter"))
+    return rows.select("tile_id", "program", F.size("steps").alias("n_steps"), shown.alias("operations"), F.exists("steps", lambda s: s["operation"] == "filter_relation").alias("has_filter"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, DIRECTIONS, SIZES
+from ..config import DEFAULT, DIRECTIONS, PROGRAMS, SIZES
 from ..operators import geometry as G
 from ..operators import relations as R
 from ..operators import semantic as S
@@ -224,10 +224,16 @@ def sem_trivial(spark, d):
     return S.winners(S.candidates(tiles(spark, d)), ["tile_id", "which", "direction"]).select("tile_id", "which", "direction", "n_admissible")
 
 
-@query("prog_catalog", """select p as program, case when len(s) = 1 then 1 when len(s) = 3 and s[-1] = 'nearest' then 3 else 2 end as level, len(s) as n_steps, s[1] as first_step, array_to_string(s[2:3], '>') as rest
- from (select p, string_split(p, '_to_') s from (select unnest(['leftmost', 'rightmost', 'topmost', 'bottommost', 'largest', 'smallest', 'largest_to_nearest', 'smallest_to_nearest', 'largest_to_left_of', 'largest_to_right_of', 'largest_to_above', 'largest_to_below', 'smallest_to_left_of', 'smallest_to_right_of', 'smallest_to_above', 'smallest_to_below', 'largest_to_left_of_to_nearest', 'largest_to_right_of_to_nearest', 'largest_to_above_to_nearest', 'largest_to_below_to_nearest']) p))""")
+_PROGRAMS = ", ".join(f"'{p}'" for p in PROGRAMS)
+
+
+@query("prog_catalog", twin(f"""select p as program, case when len(s) = 1 then 1 when len(s) = 3 and s[-1] = 'nearest' then 3 else 2 end as level, len(s) as n_steps, s[1] as first_step, array_to_string(s[2:3], '>') as rest,
+ coalesce(n_samples, 0) as n_samples, coalesce(n_trivial, 0) as n_trivial, coalesce(n_tiles, 0) as n_tiles
+ from (select p, string_split(p, '_to_') s from (select unnest([{_PROGRAMS}]) p)) left join (select query_type, count(*) as n_samples, count(*) filter (trivial) as n_trivial, count(distinct tile_id) as n_tiles from smp group by 1) on query_type = p"""))
 def prog_catalog(spark, d):
-    return programs.catalog(spark)
+    """The programs of the vocabulary and how the samples use each."""
+    used = samples(spark, d).groupBy(F.col("query_type").alias("program")).agg(F.count("*").alias("n_samples"), F.count_if("trivial").alias("n_trivial"), F.countDistinct("tile_id").alias("n_tiles"))
+    return programs.catalog(spark).join(used, "program", "left").fillna(0, ["n_samples", "n_trivial", "n_tiles"])
 
 
 _EXEC = """,

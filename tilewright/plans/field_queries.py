@@ -323,10 +323,18 @@ def big(spark, d):
     return tiles(spark, d).withColumns({"image": F.floor(t / 16), "gx0": ox + C("x0"), "gy0": oy + C("y0"), "gx": ox + C("cx"), "gy": oy + C("cy")})
 
 
-@query("til_plan", "with im as (select * from (values (1, 2048, 2000), (2, 1000, 700), (3, 512, 300)) t(image, w, h)), xs as (select distinct image, greatest(0, least(i * 384, w - 512)) as x from im, range(0, 8) r(i) where i = 0 or (i - 1) * 384 + 512 < w), ys as (select distinct image, greatest(0, least(i * 384, h - 512)) as y from im, range(0, 8) r(i) where i = 0 or (i - 1) * 384 + 512 < h) select image, y as y0, x as x0, row_number() over (partition by image order by y, x) as tile from xs join ys using (image)")
+_IMAGES = f"(select image, greatest(512, cast(max(gx0 + w) as int)) as wide, greatest(512, cast(max(gy0 + h) as int)) as high from {_BIG} group by 1)"
+
+
+def _starts_sql(extent: str, name: str) -> str:
+    return f"(select distinct image, greatest(0, least(i * 384, {extent} - 512)) as {name} from {_IMAGES}, range(0, 8) r(i) where i = 0 or (i - 1) * 384 + 512 < {extent})"
+
+
+@query("til_plan", twin(f"select image, y0, x0, row_number() over (partition by image order by y0, x0) as tile from {_starts_sql('wide', 'x0')} join {_starts_sql('high', 'y0')} using (image)"))
 def til_plan(spark, d):
-    """Tiles of 512 pixels every 384 over images of several sizes, the last ones shifted inside."""
-    images = spark.createDataFrame([(1, 2048, 2000), (2, 1000, 700), (3, 512, 300)], "image int, w int, h int")
+    """Tiles of 512 pixels every 384 over each large image, as far as its components reach; the last ones are shifted inside."""
+    extent = lambda at, size: F.greatest(F.lit(512), F.max(C(at) + C(size)).cast("int"))
+    images = big(spark, d).groupBy("image").agg(extent("gx0", "w").alias("w"), extent("gy0", "h").alias("h"))
     starts = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(C(n) - 512, F.lit(0)) / STRIDE).cast("int")), lambda i: F.greatest(F.lit(0), F.least(i * STRIDE, C(n) - 512))))
     at = images.select("image", "w", F.explode(starts("h")).alias("y0")).select("image", "y0", F.explode(starts("w")).alias("x0"))
     return at.withColumn("tile", F.row_number().over(Window.partitionBy("image").orderBy("y0", "x0")))

@@ -34,12 +34,17 @@ def flt_nontrivial(spark, d):
     return samples(spark, d).where("level = 3 and not trivial").select("tile_id", "query_type", "target")
 
 
-@query("str_program_parse", f"select p as program, case when len(s) = 1 then 1 when len(s) = 3 and s[-1] = 'nearest' then 3 else 2 end as level, case when len(s) > 1 then 'multi_hop' when p in ('largest', 'smallest') then 'size' else 'extreme' end as family, s[1] || '/' || len(s) as bucket from (select p, string_split(p, '_to_') s from (select unnest([{_LIST}]) p))")
+_PARSED = "(select *, string_split(query_type, '_to_') as s from smp)"
+
+
+@query("str_program_parse", twin(f"select tile_id, query_type as program, case when len(s) = 1 then 1 when len(s) = 3 and s[-1] = 'nearest' then 3 else 2 end as level, case when len(s) > 1 then 'multi_hop' when query_type in ('largest', 'smallest') then 'size' else 'extreme' end as family, s[1] || '/' || len(s) as bucket from {_PARSED}"))
 def str_program_parse(spark, d):
+    """Level, family and bucket of the program of every sample, from its name."""
+    rows = samples(spark, d).withColumnRenamed("query_type", "program")
     s = F.split("program", "_to_")
     family = F.coalesce(F.when(F.size(s) > 1, "multi_hop"), F.when(C("program").isin("largest", "smallest"), "size"), F.lit("extreme"))
     level = F.when(F.size(s) == 1, 1).when((F.size(s) == 3) & (F.element_at(s, -1) == "nearest"), 3).otherwise(2)
-    return spark.createDataFrame([(p,) for p in PROGRAMS], "program string").select("program", level.alias("level"), family.alias("family"), F.concat_ws("/", F.get(s, F.lit(0)), F.size(s).cast("string")).alias("bucket"))
+    return rows.select("tile_id", "program", level.alias("level"), family.alias("family"), F.concat_ws("/", F.get(s, F.lit(0)), F.size(s).cast("string")).alias("bucket"))
 
 
 @query("flt_proposal_eligible", twin("select tile_id, component_id, f as family, not border and w * h / 262144.0::double <= 0.2::double and (f <> 'smallest' or w * h >= 150) as eligible from comp, (values ('largest'), ('smallest'), ('other')) v(f)"))
@@ -49,17 +54,18 @@ def flt_proposal_eligible(spark, d):
     return rows.select("tile_id", "component_id", "family", ok.alias("eligible"))
 
 
-_ASKED = ("", "largest", "smallest_to_left_of_to_nearest", "largest_to_above_to_nearest", "leftmost_to_nearest", "smallest_to_above_to_nearest", "tallest")
+_ASKED = "case when (tile_id + level) % 13 = 0 then '' when (tile_id + level) % 5 = 0 then replace(query_type, 'largest', 'smallest') when (tile_id + level) % 7 = 0 then query_type || '_to_nearest' else query_type end"
 
 
-@query("flt_program_gate", f"select a as asked, case when a = '' then 'E101' when a in ({_LIST}) then 'ok' else 'E102' end as status, case when a <> '' and a not in ({_LIST}) and replace(a, 'smallest', 'largest') in ({_LIST}) then replace(a, 'smallest', 'largest') end as suggestion from (select unnest({list(_ASKED)}) a)")
+@query("flt_program_gate", twin(f"select tile_id, level, query_type, a as asked, case when a = '' then 'E101' when a in ({_LIST}) then 'ok' else 'E102' end as status, case when a <> '' and a not in ({_LIST}) and replace(a, 'smallest', 'largest') in ({_LIST}) then replace(a, 'smallest', 'largest') end as suggestion from (select *, {_ASKED} as a from smp)"))
 def flt_program_gate(spark, d):
-    asked = spark.createDataFrame([(a,) for a in _ASKED], "asked string")
-    known = F.broadcast(spark.createDataFrame([(p,) for p in PROGRAMS], "program string"))  # 20 rows
+    """Programs asked for on each sample's tile: some are empty, of the other size or a step too long; a program that is not known gets the one nearest to it."""
+    k, kind = C("tile_id") + C("level"), C("query_type")
+    asked = F.when(k % 13 == 0, "").when(k % 5 == 0, F.replace(kind, F.lit("largest"), F.lit("smallest"))).when(k % 7 == 0, F.concat(kind, F.lit("_to_nearest"))).otherwise(kind)
+    rows = samples(spark, d).withColumn("asked", asked)
     swap = F.replace("asked", F.lit("smallest"), F.lit("largest"))
-    rows = asked.join(known, C("asked") == C("program"), "left").join(known.withColumnRenamed("program", "other"), swap == C("other"), "left")
-    bad = C("program").isNull() & (C("asked") != "")
-    return rows.select("asked", F.when(C("asked") == "", "E101").when(bad, "E102").otherwise("ok").alias("status"), F.when(bad, C("other")).alias("suggestion"))
+    bad = ~C("asked").isin(*PROGRAMS) & (C("asked") != "")
+    return rows.select("tile_id", "level", "query_type", "asked", F.when(C("asked") == "", "E101").when(bad, "E102").otherwise("ok").alias("status"), F.when(bad & swap.isin(*PROGRAMS), swap).alias("suggestion"))
 
 
 @query("flt_collapse", twin("select tile_id, sum(w * h) / 262144.0::double < 0.000001::double as is_empty, sum(w * h) / 262144.0::double > 0.999999::double as is_full from comp group by tile_id"))
@@ -94,10 +100,17 @@ def val_hidden(spark, d):
     return c.where(~R.eligible("largest")).join(won, "tile_id").where("area_px > score").groupBy("tile_id").agg(F.count("*").alias("n_hidden"))
 
 
-@query("val_vocabulary", f"select n_steps, count(*) as n, count(distinct p) as n_distinct from (select p, len(string_split(p, '_to_')) as n_steps from (select unnest([{_LIST}]) p)) group by n_steps")
+@query("val_vocabulary", twin(f"""select n_steps, n, n_distinct, n_unknown, n_known - n_distinct + n_odd as n_unused
+ from (select len(s) as n_steps, count(*) as n, count(distinct query_type) as n_distinct, count(*) filter (query_type not in ({_LIST})) as n_unknown, count(distinct case when query_type not in ({_LIST}) then query_type end) as n_odd from {_PARSED} group by len(s))
+ join (select len(string_split(p, '_to_')) as k, count(*) as n_known from (select unnest([{_LIST}]) p) group by 1) on k = n_steps"""))
 def val_vocabulary(spark, d):
-    rows = spark.createDataFrame([(p,) for p in PROGRAMS], "program string")
-    return rows.groupBy(F.size(F.split("program", "_to_")).alias("n_steps")).agg(F.count("*").alias("n"), F.countDistinct("program").alias("n_distinct"))
+    """Programs in use among the samples by steps: how many are known, and how many known ones of that length nobody asks."""
+    steps = F.size(F.split("program", "_to_"))
+    rows = samples(spark, d).groupBy(C("query_type").alias("program")).agg(F.count("*").alias("n"))  # a row for each program
+    known = spark.createDataFrame([(p, True) for p in PROGRAMS], "program string, known boolean")
+    both = rows.join(known, "program", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    by = both.groupBy(steps.alias("n_steps")).agg(F.sum("n").alias("n"), F.count_if(C("n") > 0).alias("n_distinct"), F.sum(F.when(C("known").isNull(), C("n")).otherwise(0)).alias("n_unknown"), F.count_if(C("n") == 0).alias("n_unused"))
+    return by.where("n > 0")
 
 
 @query("prog_recompute", twin("select nr.tile_id, anchor, object, arg_min(bid, gap * 1000 + bid / 1000.0::double) as again from nr join pg on pg.tile_id = nr.tile_id and aid = anchor where object is not null and not bborder and not bmrg and not btiny group by 1, 2, 3"))

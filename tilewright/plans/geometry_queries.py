@@ -29,17 +29,38 @@ def fn_affine(spark, d):
     return tiles(spark, d).select("tile_id", "component_id", (500000.0 + 0.25 * C("cx")).alias("world_x"), (4000000.0 - 0.25 * C("cy")).alias("world_y"))
 
 
-@query("fn_mercator", twin("select tile_id, component_id, degrees((500000.0::double + cx) / 6378137.0::double) as lon, degrees(2 * atan(exp((4000000.0::double - cy) / 6378137.0::double)) - pi() / 2) as lat from comp"))
+#: The ellipsoid's larger half axis in metres, its eccentricity, steps of the iteration.
+AXIS, ECCENTRICITY, STEPS = 6378137.0, 0.08181919084262149, 8
+
+
+@query("fn_mercator", twin(f"select tile_id, component_id, round(degrees((500000.0::double + cx) / {AXIS!r}::double), 9) as lon, round(degrees(list_reduce(range({STEPS}), lambda lat, i: pi() / 2 - 2 * atan(t * pow((1 - {ECCENTRICITY!r}::double * sin(lat)) / (1 + {ECCENTRICITY!r}::double * sin(lat)), {ECCENTRICITY / 2!r}::double)), pi() / 2 - 2 * atan(t))), 9) as lat from (select *, exp(-(4000000.0::double - cy) / {AXIS!r}::double) as t from comp)"))
 def fn_mercator(spark, d):
-    r = 6378137.0  # fixed value: radius of the spherical Mercator projection in metres
-    lat = F.degrees(2 * F.atan(F.exp((4000000.0 - C("cy")) / r)) - F.pi() / 2)
-    return tiles(spark, d).select("tile_id", "component_id", F.degrees((500000.0 + C("cx")) / r).alias("lon"), lat.alias("lat"))
+    """Longitude and latitude on the ellipsoid of each centroid's Mercator metres; the latitude by a fixed number of steps."""
+    rows = tiles(spark, d).withColumn("t", F.exp(-(4000000.0 - C("cy")) / AXIS))
+    share = lambda lat: (1 - ECCENTRICITY * F.sin(lat)) / (1 + ECCENTRICITY * F.sin(lat))
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.pi() / 2 - 2 * F.atan("t"), lambda lat, i: F.pi() / 2 - 2 * F.atan(C("t") * F.pow(share(lat), ECCENTRICITY / 2)))
+    return rows.select("tile_id", "component_id", F.round(F.degrees((500000.0 + C("cx")) / AXIS), 9).alias("lon"), F.round(F.degrees(lat), 9).alias("lat"))
+
+
+BINS = 1000
+
+
+def _bins_sql(k: str) -> str:
+    lo, hi = f"least({k}0 * {BINS - 1} // 512, {BINS - 1})", f"least((({k}1 + 1) * {BINS - 1} + 511) // 512, {BINS - 1})"
+    return f"cast(case when {hi} <= {lo} and {lo} + 1 > {BINS - 1} then greatest(0, {hi} - 1) else {lo} end as bigint) as q{k}0, cast(case when {hi} <= {lo} and {lo} + 1 <= {BINS - 1} then {lo} + 1 else {hi} end as bigint) as q{k}1"
 
 
-@query("fn_quantize", twin("select tile_id, component_id, least(999, cast(floor(x0 * 1000 / 512) as bigint)) as qx, least(999, cast(floor(y0 * 1000 / 512) as bigint)) as qy from comp"))
+@query("fn_quantize", twin(f"select tile_id, component_id, {_bins_sql('x')}, {_bins_sql('y')} from comp"))
 def fn_quantize(spark, d):
-    q = lambda k: F.least(F.lit(999), F.floor(C(k) * 1000 / 512))
-    return tiles(spark, d).select("tile_id", "component_id", q("x0").alias("qx"), q("y0").alias("qy"))
+    """Each box in bins of the tile: the bins enclose it, low ends rounded down and high ones up, and are never empty."""
+    rows = tiles(spark, d)
+    for k in "xy":
+        low = F.least(F.floor(C(f"{k}0") * (BINS - 1) / 512), F.lit(BINS - 1))
+        high = F.least(F.ceil((C(f"{k}1") + 1) * (BINS - 1) / 512), F.lit(BINS - 1))
+        rows = rows.withColumns({f"lo{k}": low, f"hi{k}": high})
+        empty, fits = C(f"hi{k}") <= C(f"lo{k}"), C(f"lo{k}") + 1 <= BINS - 1
+        rows = rows.withColumns({f"q{k}0": F.when(empty & ~fits, F.greatest(F.lit(0), C(f"hi{k}") - 1)).otherwise(C(f"lo{k}")), f"q{k}1": F.when(empty & fits, C(f"lo{k}") + 1).otherwise(C(f"hi{k}"))})
+    return rows.select("tile_id", "component_id", "qx0", "qx1", "qy0", "qy1")
 
 
 @query("fn_expand_box", twin("select tile_id, component_id, greatest(0, x0 - cast(ceil(w * 0.1::double) as bigint)) as ex0, greatest(0, y0 - cast(ceil(h * 0.1::double) as bigint)) as ey0, least(511, x1 + cast(ceil(w * 0.1::double) as bigint)) as ex1, least(511, y1 + cast(ceil(h * 0.1::double) as bigint)) as ey1 from comp"))

@@ -123,9 +123,17 @@ def prog_recompute(spark, d):
 _ISSUES = ("border", "mrg", "tiny")
 
 
-@query("val_leaks", "select lang, count(*) filter (regexp_matches(text, '[0-9]{3}')) as n_ids, count(*) filter (regexp_matches(lower(text), 'component [0-9]+')) as n_named, count(*) as n from documents group by lang")
+#: Mentions of internal component numbers in two languages.
+LEAKS = (r"(?i)\bcomponents?\s+[0-9]+", r"(组件|构件)\s*[0-9]+")
+
+
+@query("val_leaks", f"select lang, count(*) filter (regexp_matches(t, '{LEAKS[0]}')) as n_english, count(*) filter (regexp_matches(t, '{LEAKS[1]}')) as n_chinese, cast(sum(len(regexp_extract_all(t, '{LEAKS[0]}')) + len(regexp_extract_all(t, '{LEAKS[1]}'))) as bigint) as n_mentions, count(*) as n from (select lang, coalesce(text, '') || case when doc_id % 50 = 0 then ' see Components 12 and component  7.' when doc_id % 70 = 1 then ' 构件 7、组件3' else '' end as t from documents) group by lang")
 def val_leaks(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count_if(C("text").rlike("[0-9]{3}")).alias("n_ids"), F.count_if(F.lower("text").rlike("component [0-9]+")).alias("n_named"), F.count("*").alias("n"))
+    """Texts that name internal component numbers, in English or Chinese; some are planted by the number of the document."""
+    planted = F.when(C("doc_id") % 50 == 0, " see Components 12 and component  7.").when(C("doc_id") % 70 == 1, " 构件 7、组件3").otherwise("")
+    rows = table(spark, d, "documents").select("lang", F.concat(F.coalesce("text", F.lit("")), planted).alias("t"))
+    english, chinese = (F.regexp_count("t", F.lit(p)) for p in LEAKS)
+    return rows.groupBy("lang").agg(F.count_if(english > 0).alias("n_english"), F.count_if(chinese > 0).alias("n_chinese"), F.sum(english + chinese).alias("n_mentions"), F.count("*").alias("n"))
 
 
 # ---- joins and picks ----
@@ -276,11 +284,23 @@ def met_auprc(spark, d):
     return rows.agg((F.sum(C("tp") / C("n") * C("d")) / F.sum("d")).alias("average_precision"))
 
 
-@query("met_exact", twin("select which, count(*) as n, avg(case when subject = target then 1.0::double else 0.0::double end) as exact from sem join siz on siz.tile_id = sem.tile_id and relation = which group by which"))
+#: Fixed value: what the comparison of texts leaves out.
+IGNORED = r"""[\s\u3000,，。.、;；:：!！?？"'“”‘’()（）\[\]【】<>《》—\-_/\\|~`@#$%^&*+=]+""".replace("\\u3000", "\u3000")
+_SAID = "case conv_id % 4 when 0 then '  ' || upper(text) || ' [SEG] box' when 1 then '... [SEG]' when 2 then text || ' indeed' else text end"
+
+
+def _tidy_sql(x: str) -> str:
+    return f"lower(trim(regexp_replace({x}, '{IGNORED.replace(chr(39), chr(39) * 2)}', '', 'g')))"
+
+
+@query("met_exact", f"select role, count(*) as n, avg(case when said <> '' and said = wanted then 1.0::double else 0.0::double end) as exact, count(*) filter (said = '') as n_empty from (select role, {_tidy_sql(f'split_part({_SAID}, chr(91) || chr(83) || chr(69) || chr(71) || chr(93), 1)')} as said, {_tidy_sql('text')} as wanted from conversations) group by role")
 def met_exact(spark, d):
-    c = tiles(spark, d)
-    a = R.sizes(c).select("tile_id", C("relation").alias("which"), "subject")
-    return size_winners(c).join(a, ["tile_id", "which"]).groupBy("which").agg(F.count("*").alias("n"), F.avg(F.when(C("subject") == C("target"), 1.0).otherwise(0.0)).alias("exact"))
+    """Turns whose generated text, before the marker, lower-cased and without punctuation, is the expected one and not empty; what is generated is the text, changed by the number of the conversation."""
+    k, text = C("conv_id") % 4, C("text")
+    said = F.when(k == 0, F.concat(F.lit("  "), F.upper(text), F.lit(" [SEG] box"))).when(k == 1, "... [SEG]").when(k == 2, F.concat(text, F.lit(" indeed"))).otherwise(text)
+    tidy = lambda x: F.lower(F.trim(F.regexp_replace(x, IGNORED, "")))
+    rows = table(spark, d, "conversations").select("role", tidy(F.substring_index(said, "[SEG]", 1)).alias("said"), tidy(text).alias("wanted"))
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.avg(F.when((C("said") != "") & (C("said") == C("wanted")), 1.0).otherwise(0.0)).alias("exact"), F.count_if(C("said") == "").alias("n_empty"))
 
 
 @query("met_chain", twin("select count(*) as n, count(*) filter (s.reason is null) as n_first, count(*) filter (s.reason is null and nr.reason is null) as n_both from siz s join nr on nr.tile_id = s.tile_id and nr.anchor = s.subject where relation = 'largest'"))

@@ -411,9 +411,11 @@ def str_prefix(spark, d):
 # ---- validation ----
 
 
-@query("val_exact_dups", "select md5(text) as digest, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+@query("val_exact_dups", "select md5(text) as digest, count(*) as copies, count(distinct doc_id % 5) as n_splits, min(doc_id) as first_id from documents where text is not null group by 1 having count(distinct doc_id % 5) > 1")
 def val_exact_dups(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    """Texts that stand in several of five splits (by id), with their copies."""
+    rows = table(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("digest"))
+    return rows.agg(F.count("*").alias("copies"), F.countDistinct(F.col("doc_id") % 5).alias("n_splits"), F.min("doc_id").alias("first_id")).where("n_splits > 1")
 
 
 @query("val_leakage", twin("select query_type, count(distinct split) as n_splits, count(*) as n from smp group by query_type"))

@@ -286,7 +286,7 @@ def met_auprc(spark, d):
 
 #: Fixed value: what the comparison of texts leaves out.
 IGNORED = r"""[\s\u3000,，。.、;；:：!！?？"'“”‘’()（）\[\]【】<>《》—\-_/\\|~`@#$%^&*+=]+""".replace("\\u3000", "\u3000")
-_SAID = "case conv_id % 4 when 0 then '  ' || upper(text) || ' [SEG] box' when 1 then '... [SEG]' when 2 then text || ' indeed' else text end"
+_SAID = "case conv_id % 4 when 0 then '  ' || replace(text, ' ', ' - ') || ' [SEG] box' when 1 then '... [SEG]' when 2 then text || ' indeed' else text end"
 
 
 def _tidy_sql(x: str) -> str:
@@ -297,7 +297,7 @@ def _tidy_sql(x: str) -> str:
 def met_exact(spark, d):
     """Turns whose generated text, before the marker, lower-cased and without punctuation, is the expected one and not empty; what is generated is the text, changed by the number of the conversation."""
     k, text = C("conv_id") % 4, C("text")
-    said = F.when(k == 0, F.concat(F.lit("  "), F.upper(text), F.lit(" [SEG] box"))).when(k == 1, "... [SEG]").when(k == 2, F.concat(text, F.lit(" indeed"))).otherwise(text)
+    said = F.when(k == 0, F.concat(F.lit("  "), F.replace(text, F.lit(" "), F.lit(" - ")), F.lit(" [SEG] box"))).when(k == 1, "... [SEG]").when(k == 2, F.concat(text, F.lit(" indeed"))).otherwise(text)
     tidy = lambda x: F.lower(F.trim(F.regexp_replace(x, IGNORED, "")))
     rows = table(spark, d, "conversations").select("role", tidy(F.substring_index(said, "[SEG]", 1)).alias("said"), tidy(text).alias("wanted"))
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.avg(F.when((C("said") != "") & (C("said") == C("wanted")), 1.0).otherwise(0.0)).alias("exact"), F.count_if(C("said") == "").alias("n_empty"))

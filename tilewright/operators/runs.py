@@ -157,6 +157,31 @@ def overlaps(shaped: DataFrame, a_boxes: bool = False) -> DataFrame:
     return met.groupBy("tile_id", "aid", "bid").agg(F.sum(F.least("xb", "xb_") - F.greatest("xa", "xa_") + 1).alias("i"))
 
 
+def packed(runs: DataFrame, *by: str) -> DataFrame:
+    """(``by``, y, word, bits): masks of 64 pixels a number, pixel 64 word + i being bit i; words without a pixel are left out."""
+    words = runs.withColumn("word", F.explode(F.sequence(F.floor(C("xa") / 64).cast("int"), F.floor(C("xb") / 64).cast("int"))))
+    low, high = F.greatest("xa", C("word") * 64) - C("word") * 64, F.least("xb", C("word") * 64 + 63) - C("word") * 64
+    rows = words.select(*by, "y", "word", low.cast("int").alias("low"), high.cast("int").alias("high"))
+    bits = F.expr("shiftleft(-1L, low) & shiftrightunsigned(-1L, 63 - high)")
+    return rows.groupBy(*by, "y", "word").agg(F.bit_or(bits).alias("bits"))
+
+
+def unpacked(words: DataFrame, *by: str) -> DataFrame:
+    """The runs of packed masks: a run begins at a set bit behind a clear one and ends before the next clear one."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("i"), F.expr("bits").alias("bits")))
+    on = F.filter(at, lambda p: F.call_function("getbit", p["bits"], p["i"]) == 1)
+    pixels = words.select(*by, "y", F.explode(F.transform(on, lambda p: (C("word") * 64 + p["i"]).cast("int"))).alias("xa"))
+    return merged(pixels.withColumn("xb", C("xa")), *by)
+
+
+def packed_overlaps(words: DataFrame) -> DataFrame:
+    """(tile_id, aid, bid, common): common pixels of two packed masks of a tile that have any, by counting bits."""
+    a = words.select("tile_id", "y", "word", C("component_id").alias("aid"), C("bits").alias("abits"))
+    b = words.select("tile_id", "y", "word", C("component_id").alias("bid"), C("bits").alias("bbits"))
+    met = a.join(b, ["tile_id", "y", "word"]).where("aid < bid and (abits & bbits) != 0")
+    return met.groupBy("tile_id", "aid", "bid").agg(F.sum(F.bit_count(C("abits").bitwiseAND(C("bbits")))).alias("common"))
+
+
 def interior(runs: DataFrame, *by: str) -> DataFrame:
     """Runs of the pixels whose four neighbours are in, too; disjoint, as the runs of a row are."""
     shift = lambda k, n: runs.select(*by, (C("y") + k).alias("y"), C("xa").alias(f"xa{n}"), C("xb").alias(f"xb{n}"))

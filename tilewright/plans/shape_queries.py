@@ -459,6 +459,20 @@ def geo_interior(spark, d):
 # ---- masks ----
 
 
+@query("fn_mask_pack", shape_twin("select tile_id, component_id, pixels, pixels as counted from shp"))
+def fn_mask_pack(spark, d):
+    """Pixels of each component, as known from its shape and as counted from its packed mask."""
+    s = shaped(spark, d)
+    counted = P.packed(P.runs_of(s), "tile_id", "component_id").groupBy("tile_id", "component_id").agg(F.sum(F.bit_count("bits")).alias("counted"))
+    return s.select("tile_id", "component_id", "pixels").join(counted, ["tile_id", "component_id"])
+
+
+@query("met_packed_overlap", shape_twin("select tile_id, aid, bid, i as common from spr where aid < bid and i > 0", PAIRS))
+def met_packed_overlap(spark, d):
+    """Common pixels of components that meet, by the bits of their packed masks."""
+    return P.packed_overlaps(P.packed(P.runs_of(shaped(spark, d)), "tile_id", "component_id"))
+
+
 @query("met_boundary_disp")
 def met_boundary_disp(spark, d):
     """Mean and 95th percentile of the distances from each boundary pixel of two components that meet to the other's boundary."""

@@ -1,4 +1,4 @@
-"""Indexed PNG files: round trips, all row filters, damaged files."""
+"""Indexed PNG files: round trips, all row filters, damaged files; order of JSON lines."""
 
 import struct
 import zlib
@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tilewright.sources import files
 from tilewright.sources import index_maps as M
 
 
@@ -61,3 +62,21 @@ def test_files_come_back(spark, tmp_path):
     got = sorted((tuple(r) for r in M.read_index_maps(spark, str(tmp_path / "maps")).collect()), key=str)
     want = [(1, 1, 0, 0, 3, None), (1, 1, 0, 6, 9, None), (1, 1, 1, 2, 3, None), (1, 2, 0, 4, 5, None), (-4, 7, 63, 0, 63, None), (9, 255, 5, 5, 5, None), (12, None, None, None, None, "not a PNG file")]
     assert got == sorted(want, key=str)
+
+
+def test_json_lines_are_in_order(spark, tmp_path):
+    """Within each folder the lines of all files, by name, ascend; a large folder has several files."""
+    rows = spark.range(20_000).selectExpr("id % 7919 as b", "'x' || id as a", "case when id % 50 = 0 then 'few' else 'most' end as split")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or small partitions are joined
+    files.write_json_lines(rows, str(tmp_path / "lines"), "split")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0
+    for folder in sorted((tmp_path / "lines").glob("split=*")):
+        parts = sorted(folder.glob("part-*"))
+        lines = [line for p in parts for line in p.read_text().splitlines()]
+        assert lines == sorted(lines)
+        assert len(parts) > 1 or "few" in folder.name
+        total += len(lines)
+    assert total == 20_000
+    back = files.read_json_lines(spark, str(tmp_path / "lines"), "a string, b long, split string")
+    assert back.count() == 20_000 and back.where("split = 'few'").count() == 400

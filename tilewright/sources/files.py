@@ -33,10 +33,10 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_json_lines(df: DataFrame, path: str, *partitions: str) -> None:
-    """One JSON object a line with its keys in order, in a folder for each value of ``partitions``; rows in order of all keys."""
+    """One JSON object a line with its keys in order, in a folder for each value of ``partitions``; rows of a folder in order of all keys, from file to file."""
     names = sorted(c for c in df.columns if c not in partitions)
     lines = df.select(*partitions, F.to_json(F.struct(*names)).alias("value"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(names)))
-    lines = lines.repartition(*partitions) if partitions else lines
+    lines = lines.repartitionByRange(*partitions, "value")  # a folder's rows go to as many tasks as they fill
     lines.sortWithinPartitions(*partitions, "value").select(*partitions, "value").write.partitionBy(*partitions).text(path)
 
 

@@ -16,7 +16,7 @@ from ..operators import runs as P
 from ..operators.graph import connected
 from ..operators.semantic import references
 from ..queries import query, twin
-from ..sources import files
+from ..sources import files, shapefiles
 from ..sources.tables import split_of, table
 from .base_queries import ids, samples, tiles
 from .geometry_queries import _DOT, _NORM, _PROTO, dot, prototypes
@@ -671,7 +671,7 @@ def src_text_permissive(spark, d):
 @query("src_datasource_v2", shape_twin("select case when nothing then 0 else 5 end as shape_type, count(*) as n, cast(coalesce(sum(case when not nothing then r end), 0) as bigint) as n_parts, cast(coalesce(sum(case when not nothing then p end), 0) as bigint) as n_points, sum(case when not nothing then x0 end)::double as xmin, sum(case when not nothing then y1 end)::double as ymax from (select tile_id, component_id, any_value(component_id) % 6 = 5 as nothing, count(*) as r, sum(corners + 1) as p, any_value(x0) as x0, any_value(y1) as y1 from rng group by 1, 2) group by 1", _RINGS))
 def src_datasource_v2(spark, d):
     """All shapes as polygon records of shapefiles, some of them null, written and read by a data source of our own."""
-    spark.dataSource.register(files.ShapefileSource)
+    spark.dataSource.register(shapefiles.ShapefileSource)
     path = files.scratch(spark, "shapes")
     by = rings(spark, d).groupBy("tile_id", "component_id").agg(F.array_sort(F.collect_list(F.struct("number", "ring")))["ring"].alias("rings"))
     nothing = F.array().cast("array<array<struct<x:double,y:double>>>")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audit_queries, base_queries, field_queries, geometry_queries, grid_queries, report_queries, shape_queries, table_queries
+from .plans import audit_queries, base_queries, field_queries, file_queries, geometry_queries, grid_queries, report_queries, shape_queries, table_queries
 from .plans.base_queries import flagship
 from .queries import QUERIES, SQL
 
-__all__ = ["audit_queries", "base_queries", "field_queries", "geometry_queries", "grid_queries", "report_queries", "shape_queries", "table_queries", "flagship", "oracle_sql", "queries"]
+__all__ = ["audit_queries", "base_queries", "field_queries", "file_queries", "geometry_queries", "grid_queries", "report_queries", "shape_queries", "table_queries", "flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,17 +1,12 @@
-"""Files that queries write and read back: JSON lines, label text and shapefiles, in the folder all machines share."""
+"""Files that queries write and read back: JSON lines and label text, in the folder all machines share."""
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -43,133 +38,3 @@ def write_json_lines(df: DataFrame, path: str, *partitions: str) -> None:
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines by an explicit schema; partition folders become columns, and filters on them prune folders."""
     return spark.read.schema(schema).json(path)
-
-
-# ---- shapefiles ----
-
-#: Fixed values of the format: file code, version, and the shape types of nothing and of polygons.
-FILE_CODE, VERSION, NOTHING, POLYGON = 9994, 1000, 0, 5
-SHAPES = "record int, shape_type int, xmin double, ymin double, xmax double, ymax double, parts array<int>, points array<struct<x:double,y:double>>, issues array<string>"
-
-
-def _files(path: str):
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system, at
-
-
-def shape_record(number: int, rings: list) -> bytes:
-    """One record; without rings a null shape."""
-    if not rings:
-        body = struct.pack("<i", NOTHING)
-    else:
-        points = np.array([(p["x"], p["y"]) for ring in rings for p in ring], "<f8")
-        sizes = np.cumsum([0, *(len(r) for r in rings[:-1])]).astype("<i4")
-        body = struct.pack("<i4d2i", POLYGON, *points.min(0), *points.max(0), len(rings), len(points)) + sizes.tobytes() + points.tobytes()
-    return struct.pack(">2i", number, len(body) // 2) + body
-
-
-def file_header(n_bytes: int) -> bytes:
-    return struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, n_bytes // 2) + struct.pack("<2i8d", VERSION, POLYGON, *[0.0] * 8)
-
-
-def parse_record(data: bytes) -> tuple:
-    """A record's row of ``SHAPES``; what is wrong with it goes to ``issues``."""
-    number = struct.unpack_from(">i", data)[0]
-    kind = struct.unpack_from("<i", data, 8)[0]
-    if kind == NOTHING:
-        return number, kind, None, None, None, None, [], [], []
-    if kind % 10 != POLYGON or not 0 < kind < 30:
-        return number, kind, None, None, None, None, [], [], ["unsupported shape type"]
-    box = struct.unpack_from("<4d", data, 12)
-    n_parts, n_points = struct.unpack_from("<2i", data, 44)
-    parts = np.frombuffer(data, "<i4", n_parts, 52).tolist()
-    points = np.frombuffer(data, "<f8", 2 * n_points, 52 + 4 * n_parts).reshape(-1, 2)
-    issues = []
-    if n_parts <= 0:
-        issues.append("no parts")
-    if n_points < 3:
-        issues.append("too few points")
-    if parts and parts[0]:
-        issues.append("the first part does not begin at point 0")
-    return number, kind, *box, parts, [(x, y) for x, y in points.tolist()], issues
-
-
-class Part(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
-
-
-class ShapefileReader(DataSourceReader):
-    """A task for about ``records`` records of a file, cut by the offsets of its index."""
-
-    def __init__(self, path: str, records: int):
-        self.path, self.records = path, records
-
-    def partitions(self) -> list[Part]:
-        from pyarrow import fs
-
-        system, at = _files(self.path)
-        found = []
-        for info in system.get_file_info(fs.FileSelector(at)):
-            if info.path.endswith(".shx") and info.size > 100:
-                with system.open_input_stream(info.path) as f:
-                    index = np.frombuffer(f.read()[100:], ">i4").reshape(-1, 2).astype(np.int64)
-                shp = info.path.removesuffix(".shx") + ".shp"
-                for i in range(0, len(index), self.records):
-                    last = index[min(i + self.records, len(index)) - 1]
-                    found.append(Part(shp, int(index[i][0]) * 2, int(last.sum()) * 2 + 8))
-        return found or [Part("", 0, 0)]
-
-    def read(self, partition: Part) -> Iterator[tuple]:
-        if partition.end:
-            system, _ = _files(self.path)
-            with system.open_input_file(partition.path) as f:
-                f.seek(partition.begin)
-                data = f.read(partition.end - partition.begin)
-            at = 0
-            while at < len(data):
-                n = 8 + 2 * struct.unpack_from(">i", data, at + 4)[0]
-                yield parse_record(data[at : at + n])
-                at += n
-
-
-class ShapefileWriter(DataSourceWriter):
-    """One .shp with its .shx index for each task, of rows with an array of ``rings``."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        records, offsets, size = [], [], 100
-        for number, row in enumerate(rows, 1):
-            records.append(shape_record(number, row["rings"] or []))
-            offsets.append((size // 2, (len(records[-1]) - 8) // 2))
-            size += len(records[-1])
-        if records:
-            system, at = _files(self.path)
-            system.create_dir(at, recursive=True)
-            name = f"{at}/part-{uuid.uuid4().hex}"
-            index = np.array(offsets, ">i4").tobytes()
-            for end, data in ((".shp", [file_header(size), *records]), (".shx", [file_header(100 + len(index)), index])):
-                with system.open_output_stream(name + end) as f:
-                    f.write(b"".join(data))
-        return WriterCommitMessage()
-
-
-class ShapefileSource(DataSource):
-    """Shapefiles of a folder: ``spark.read.format("shapefile").load(path)``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "shapefile"
-
-    def schema(self) -> str:
-        return SHAPES
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return ShapefileReader(self.options["path"], int(self.options.get("records", 20_000)))
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ShapefileWriter(self.options["path"])

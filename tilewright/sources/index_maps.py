@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grids import mask_runs
-from .files import _files
+from .staged import file_system
 
 #: Fixed values of the format.
 SIGNATURE, DEPTH, GREY, PALETTE = b"\x89PNG\r\n\x1a\n", 8, 0, 3
@@ -118,7 +118,7 @@ def write_index_maps(runs: DataFrame, path: str, height: int, width: int) -> Dat
     """Writes a PNG for each tile of (tile_id, component_id, y, xa, xb) to ``path``; the result, which has to be run, lists tiles, files and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _files(path)
+        system, base = file_system(path)
         system.create_dir(base, recursive=True)
         for batch in batches:
             names, sizes = [], []

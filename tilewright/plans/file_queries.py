@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..queries import query
+from ..operators import runs as P
+from ..queries import query, twin
 from ..session import ship
-from ..sources import dbase, files, shapefiles
+from ..sources import dbase, files, shapefiles, tiff
 from ..sources.tables import table
-from .shape_queries import rings, shape_twin
+from .shape_queries import rings, shape_twin, shaped
 
 C = F.col
 
@@ -33,3 +34,29 @@ def src_shape_boxes(spark, d):
     shapes.repartitionByRange("x0", "y0", "tile_id").select("rings").write.format("shapefile").mode("append").save(path)
     found = shapefiles.within(spark, path, (C("xmax") >= 200) & (C("xmin") < 260) & (C("ymax") > 100) & (C("ymin") <= 300))
     return found.groupBy(*shapefiles.BOX).agg(F.count("*").alias("n"), F.sum(F.size("parts")).alias("n_parts"))
+
+
+_IMAGES = "(select tile_id, min(x0) as l, min(y0) as t, max(x1) - min(x0) + 1 as w, max(y1) - min(y0) + 1 as h from comp group by 1)"
+
+
+def images(spark, d) -> str:
+    """A folder with a TIFF image of each tile's components and its world file."""
+    path = files.scratch(spark, "images")
+    tiff.write_images(P.runs_of(shaped(spark, d)), path).write.format("noop").mode("overwrite").save()
+    return path
+
+
+@query("src_tiff_metadata", twin(f"select tile_id, tile_id % 2 = 1 as little, tile_id % 3 = 0 as big_tiff, tile_id % 5 < 2 as tiled, cast(w as bigint) as width, cast(h as bigint) as height, cast(8 as bigint) as bits, cast(8 as bigint) as compression, cast(case when tile_id % 5 < 2 then 128 end as bigint) as tile_width, cast(case when tile_id % 5 >= 2 then 64 end as bigint) as rows_per_strip, cast(case when tile_id % 5 < 2 then ((w + 127) // 128) * ((h + 127) // 128) else (h + 63) // 64 end as bigint) as n_parts from {_IMAGES}"))
+def src_tiff_metadata(spark, d):
+    """Size and layout of every tile's image, of both byte orders and versions, by its first directory."""
+    return tiff.read_metadata(spark, images(spark, d)).where("issue is null").select("tile_id", "little", "big_tiff", "tiled", "width", "height", "bits", "compression", "tile_width", "rows_per_strip", "n_parts")
+
+
+@query("src_world_files", twin(f"select tile_id, tile_id * 256 + l * 0.5::double - 0.25::double as left_, 1000 - t * 0.5::double + 0.25::double as top, tile_id * 256 + (l + w) * 0.5::double - 0.25::double as right_, 1000 - (t + h) * 0.5::double + 0.25::double as bottom from {_IMAGES}"))
+def src_world_files(spark, d):
+    """The ground that each image covers: its size by its metadata, placed by its world file."""
+    path = images(spark, d)
+    both = tiff.read_metadata(spark, path).where("issue is null").select("tile_id", "width", "height").join(tiff.read_world_files(spark, path).where("issue is null"), "tile_id")
+    corner = lambda x, y: (C("a") * x + C("b") * y + C("c"), C("d") * x + C("e") * y + C("f"))
+    (left, top), (right, bottom) = corner(-0.5, -0.5), corner(C("width") - 0.5, C("height") - 0.5)
+    return both.select("tile_id", left.alias("left_"), top.alias("top"), right.alias("right_"), bottom.alias("bottom"))

@@ -106,6 +106,50 @@ def smp_paired(spark, d):
     return both.groupBy("tile_id").agg(F.min_by(F.struct("ida", "idb"), order).alias("p")).select("tile_id", C("p.ida").alias("left_id"), C("p.idb").alias("right_id"))
 
 
+IMAGES = 10
+
+
+def overfit_set(questions, images: int = IMAGES):
+    """Two questions with different answers for each of ``images`` tiles, so that every level is covered as far as there are tiles for it.
+
+    A tile offers its best pair: one with a real third level first, then of different types, then least ids. Tiles are in a bucket by the
+    highest level of their pair; a third of the images comes from each, level 1 takes what is left, and a bucket that is short
+    is topped up from the others, highest first. Pairs whose third level is trivial are in no bucket. No bucket gives more than ``images`` tiles, so the first ones of each, by number, decide.
+    """
+    item = F.struct("target", F.concat_ws("-", C("level").cast("string"), "query_type").alias("sample"), "level", "query_type", ((C("level") == 3) & ~C("trivial")).alias("real"))
+    order = lambda a, b: F.struct((~(a["real"] | b["real"])).alias("k1"), (a["query_type"] == b["query_type"]).alias("k2"), a["sample"].alias("k3"), b["sample"].alias("k4"), a.alias("a"), b.alias("b"))
+    pairs = F.flatten(F.transform("items", lambda a: F.transform(F.filter("items", lambda b: a["target"] < b["target"]), lambda b: order(a, b))))
+    # a tile has as many questions as its quotas allow
+    best = questions.groupBy("tile_id").agg(F.collect_list(item).alias("items")).select("tile_id", F.array_min(pairs).alias("p")).where("p is not null")
+    top = F.greatest("p.a.level", "p.b.level")
+    rows = best.withColumn("bucket", F.when(~C("p.k1"), 3).when(top < 3, top)).where("bucket is not null")
+    some = rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket", F.pmod("tile_id", F.lit(64))).orderBy("tile_id"))).where(C("k") <= images)
+    head = some.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("tile_id"))).where(C("k") <= images)
+    third = max(1, images // 3)
+    quota = F.when(C("bucket") == 1, images - 2 * third).otherwise(third)
+    few = head.withColumn("topped_up", C("k") > quota)
+    # at most three times ``images`` rows
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("topped_up", F.desc("bucket"), "k"))).where(C("place") <= images)
+    return chosen.select("place", "tile_id", "bucket", "topped_up", F.explode(F.array_sort(F.array(*(F.struct(C(f"p.{k}.sample").alias("sample"), *(C(f"p.{k}.{n}").alias(n) for n in ("level", "query_type", "target"))) for k in "ab")))).alias("q")).select("place", "tile_id", "bucket", "topped_up", "q.sample", "q.level", "q.query_type", "q.target")
+
+
+@query("smp_overfit", twin("""
+select cast(place as int) as place, tile_id, bucket, topped_up, unnest([la, ra]) as sample, unnest([al, bl]) as level, unnest([aq, bq]) as query_type, unnest([at_, bt]) as target
+from (select *, row_number() over (order by topped_up, bucket desc, rk) as place
+      from (select *, rk > case bucket when 1 then 4 else 3 end as topped_up
+            from (select *, row_number() over (partition by bucket order by tile_id) as rk
+                  from (select *, case when nt then 3 when greatest(al, bl) < 3 then greatest(al, bl) end as bucket
+                        from (select *, row_number() over (partition by tile_id order by not nt, aq = bq, la, ra) as k
+                              from (select a.tile_id, a.level || '-' || a.query_type as la, b.level || '-' || b.query_type as ra, a.level as al, b.level as bl, a.query_type as aq, b.query_type as bq, a.target as at_, b.target as bt,
+                                           (a.level = 3 and not a.trivial) or (b.level = 3 and not b.trivial) as nt
+                                    from smp a join smp b on a.tile_id = b.tile_id and a.target < b.target where a.split = 'train' and b.split = 'train')) where k = 1)
+                  where bucket is not null)))
+where place <= 10"""))
+def smp_overfit(spark, d):
+    """Ten tiles of the training split with two questions each, all levels covered."""
+    return overfit_set(samples(spark, d).where("split = 'train'"))
+
+
 # ---- records with planted faults ----
 
 _BROKEN = "(select tile_id, split, level, query_type, trivial, case when tile_id % 19 = 0 and level > 1 then null when tile_id % 29 = 0 and level = 1 then 1 when tile_id % 23 = 0 and level > 1 then target else reference end as reference, case when tile_id % 17 = 0 then 99 else target end as target, case when tile_id % 31 = 0 then level + 1 else level end as n_steps from smp)"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import runs as P
 from ..queries import query, twin
 from ..session import ship
-from ..sources import dbase, files, shapefiles, tiff
-from ..sources.tables import table
+from ..sources import dbase, files, manifest, shapefiles, tiff
+from ..sources.tables import split_of, table
+from .base_queries import tiles
+from .field_queries import records
 from .shape_queries import rings, shape_twin, shaped
 
 C = F.col
@@ -60,3 +62,28 @@ def src_world_files(spark, d):
     corner = lambda x, y: (C("a") * x + C("b") * y + C("c"), C("d") * x + C("e") * y + C("f"))
     (left, top), (right, bottom) = corner(-0.5, -0.5), corner(C("width") - 0.5, C("height") - 0.5)
     return both.select("tile_id", left.alias("left_"), top.alias("top"), right.alias("right_"), bottom.alias("bottom"))
+
+
+@query("sink_manifest", twin("select 'split=' || split as folder, count(*) as n, 'ok' as status, 'lineitem' as source from comp group by split"))
+def sink_manifest(spark, d):
+    """Records written with a manifest, every file checked against it, and its lines counted by folder."""
+    ship(spark)
+    path = files.scratch(spark, "checked")
+    manifest.write_checked(records(spark, d), path, "split", source="lineitem")
+    about = manifest.read_about(spark, path)
+    checked = manifest.verified(spark, path)
+    return checked.groupBy(F.substring_index("file", "/", 1).alias("folder"), "status").agg(F.sum("m_lines").alias("n")).withColumn("source", F.lit(about["source"]))
+
+
+@query("sink_report", twin("select case when k = 0 then 'split/' || split else 'border/' || border end as section, cast(1 + k as bigint) as revision, '{\"n\":' || count(*) || ',\"area\":' || cast(sum(area_px) as bigint) || '}' as body, cast(3 as bigint) as version from (select *, unnest([0, 1]) as k from comp) group by k, case when k = 0 then split end, case when k = 1 then border end, case when k = 0 then 'split/' || split else 'border/' || border end"))
+def sink_report(spark, d):
+    """Two sets of sections merged into one report, an outdated one and a repeated one among the merges; versions count the merges that changed it."""
+    c = tiles(spark, d).withColumn("split", split_of())
+    path = files.scratch(spark, "report")
+    body = F.to_json(F.struct(F.count("*").alias("n"), F.sum("area_px").alias("area"))).alias("body")
+    by_split = c.groupBy(F.concat(F.lit("split/"), "split").alias("section")).agg(body).withColumn("revision", F.lit(1))
+    by_border = c.groupBy(F.concat(F.lit("border/"), C("border").cast("string")).alias("section")).agg(body).withColumn("revision", F.lit(2))
+    outdated = by_border.withColumn("revision", F.lit(1)).withColumn("body", F.lit("{}"))
+    for sections in (by_split, outdated, by_border, by_split, outdated):
+        version = manifest.merge_report(sections, path)
+    return manifest.read_report(spark, path).withColumn("version", F.lit(version).cast("long"))

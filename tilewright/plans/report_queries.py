@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, PROGRAMS
 from ..operators import geometry as G
 from ..operators import relations as R
+from ..operators.ranks import running_totals
 from ..operators.semantic import size_winners
 from ..queries import query, twin
 from ..sources.tables import split_of, table
@@ -279,8 +280,8 @@ _pair_metric("met_centroid", "sqrt((acx - bcx) * (acx - bcx) + (acy - bcy) * (ac
 @query("met_auprc", "select sum(tp / n * d) / sum(d) as average_precision from (select sum(pos) over w as tp, sum(n) over w as n, pos as d from (select n_chars as s, count(*) n, sum(toxic) pos from labels join documents using (doc_id) group by 1) window w as (order by s desc))")
 def met_auprc(spark, d):
     by = scored(spark, d).groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    w = Window.orderBy(F.desc("s"))  # distinct scores only
-    rows = by.select(F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("n"), C("pos").alias("d"))
+    ranked = running_totals(by, [], "s", ["pos", "n"], descending=True)
+    rows = ranked.select((C("before_pos") + C("pos")).alias("tp"), (C("before_n") + C("n")).alias("n"), C("pos").alias("d"))
     return rows.agg((F.sum(C("tp") / C("n") * C("d")) / F.sum("d")).alias("average_precision"))
 
 

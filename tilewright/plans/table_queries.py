@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators import relations as R
+from ..operators.ranks import running_totals
 from ..queries import query, twin
 from ..sources.tables import split_of, table
 from .base_queries import samples, tiles
@@ -206,10 +207,11 @@ def agg_margin_split(spark, d):
 
 @query("agg_nearest_rank", "select event_type, list_sort(list(value))[cast(round_even(0.9 * (count(*) - 1), 0) as int) + 1] as p90 from events group by event_type")
 def agg_nearest_rank(spark, d):
-    """The value at index round half even of 0.9 (n - 1): ranks by a window, so no group is gathered."""
-    w = Window.partitionBy("event_type")
-    rows = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("r") == F.bround(0.9 * (F.col("n") - 1)).cast("int") + 1).select("event_type", F.col("value").alias("p90"))
+    """The value at index round half even of 0.9 (n - 1), by running counts of distinct values."""
+    by = table(spark, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    ranked = running_totals(by, ["event_type"], "value", ["n"])
+    place = F.bround(0.9 * (F.col("all_n") - 1)).cast("long")
+    return ranked.where((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n"))).select("event_type", F.col("value").alias("p90"))
 
 
 # ---- windows ----
@@ -445,10 +447,9 @@ def scored(spark, d):
 
 @query("met_auroc", f"select (sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::double) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auroc from (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as r from {_SCORED})")
 def met_auroc(spark, d):
-    """Rank statistic from counts by score: ranks need only the distinct scores in order, not every row."""
+    """Rank statistic from running counts of distinct scores."""
     by = scored(spark, d).groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("r", below + (F.col("n") + 1) / 2)
+    ranked = running_totals(by, [], "s", ["n"]).withColumn("r", F.col("before_n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranked.agg(((F.sum(F.col("r") * F.col("pos")) - p * (p + 1) / 2) / (p * n)).alias("auroc"))
 

@@ -252,10 +252,14 @@ def picks(spark, d):
     return aim.select("tile_id").join(by, "tile_id", "left").withColumns({"n": F.coalesce("n", zero), "n_ok": F.coalesce("n_ok", zero)})
 
 
-@query("agg_failure_buckets", shape_twin(f"select bucket, count(*) as n from (select case when tile_id % 13 = 0 then 'PARSER_WRONG' when n = 0 then 'REFERENCE_NO_PROPOSALS' when n_ok = 0 then 'REFERENCE_NO_ELIGIBLE' when best < {ADEQUATE} then 'REFERENCE_NOT_COVERED' when current < {ADEQUATE} then 'REFERENCE_SELECTION_WRONG' when error > {NEAR} then 'REFERENCE_GEOMETRY_POOR' when best < 2 * {ADEQUATE} then 'TARGET_FAIL_WITH_REFERENCE_OK' else 'TARGET_OK' end as bucket from pick) group by bucket", _PICKS))
+#: Fixed value: overlap from which a reference counts as covered.
+COVERED = 0.5
+
+
+@query("agg_failure_buckets", shape_twin(f"select bucket, count(*) as n from (select case when tile_id % 13 = 0 then 'PARSER_WRONG' when n = 0 then 'REFERENCE_NO_PROPOSALS' when n_ok = 0 then 'REFERENCE_NO_ELIGIBLE' when best < {COVERED} then 'REFERENCE_NOT_COVERED_IOU50' when current < {COVERED} then 'REFERENCE_SELECTION_WRONG' when error > {NEAR} then 'REFERENCE_GEOMETRY_POOR' when best < 2 * {COVERED} then 'TARGET_FAIL_WITH_REFERENCE_OK' else 'TARGET_OK' end as bucket from pick) group by bucket", _PICKS))
 def agg_failure_buckets(spark, d):
     """The first of eight rules that each tile meets."""
-    rules = ((C("tile_id") % 13 == 0, "PARSER_WRONG"), (C("n") == 0, "REFERENCE_NO_PROPOSALS"), (C("n_ok") == 0, "REFERENCE_NO_ELIGIBLE"), (C("best") < ADEQUATE, "REFERENCE_NOT_COVERED"), (C("current") < ADEQUATE, "REFERENCE_SELECTION_WRONG"), (C("error") > NEAR, "REFERENCE_GEOMETRY_POOR"), (C("best") < 2 * ADEQUATE, "TARGET_FAIL_WITH_REFERENCE_OK"))
+    rules = ((C("tile_id") % 13 == 0, "PARSER_WRONG"), (C("n") == 0, "REFERENCE_NO_PROPOSALS"), (C("n_ok") == 0, "REFERENCE_NO_ELIGIBLE"), (C("best") < COVERED, "REFERENCE_NOT_COVERED_IOU50"), (C("current") < COVERED, "REFERENCE_SELECTION_WRONG"), (C("error") > NEAR, "REFERENCE_GEOMETRY_POOR"), (C("best") < 2 * COVERED, "TARGET_FAIL_WITH_REFERENCE_OK"))
     bucket = F.coalesce(*(F.when(c, F.lit(n)) for c, n in rules), F.lit("TARGET_OK"))
     return picks(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 

@@ -291,11 +291,23 @@ def top_hash_sample(spark, d):
     return tiles(spark, d).select("tile_id").distinct().withColumn("key", F.sha2(F.col("tile_id").cast("string"), 256)).orderBy("key").limit(50)
 
 
-@query("top_argmax_cell", twin("select tile_id, cell, n from (select *, row_number() over (partition by tile_id order by n desc, cell) r from (select tile_id, cast(floor(cy / 64) * 8 + floor(cx / 64) as bigint) as cell, count(*) n from comp group by 1, 2)) where r = 1"))
+_CELLS = "(select tile_id, cell, coalesce(n, 0) as n, (cell % 8 + 0.5::double) / 8 as px, (cell // 8 + 0.5::double) / 8 as py from (select distinct tile_id from comp) cross join range(0, 64) c(cell) left join (select tile_id, cast(floor(cy / 64) * 8 + floor(cx / 64) as bigint) as cell, count(*) as n from comp group by 1, 2) using (tile_id, cell))"
+
+
+@query("top_argmax_cell", twin(f"select tile_id, arg_max(cell, n * 64 - cell) as cell, max(n) as n, arg_max(px, n * 64 - cell) as x, arg_max(py, n * 64 - cell) as y, round(sum(exp(n) * px) / sum(exp(n)), 9) as soft_x, round(sum(exp(n) * py) / sum(exp(n)), 9) as soft_y, round(exp(max(n)) / sum(exp(n)), 9) as peak from {_CELLS} group by tile_id"))
 def top_argmax_cell(spark, d):
+    """The first cell of 8 x 8 with most components and its centre; the mean point and the peak of the softmax over all cells, in which empty cells count by a closed form."""
     cell = (F.floor(F.col("cy") / 64) * 8 + F.floor(F.col("cx") / 64)).alias("cell")
     cells = tiles(spark, d).groupBy("tile_id", cell).agg(F.count("*").alias("n"))
-    return cells.groupBy("tile_id").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("cell"), F.max("n").alias("n"))
+    centre = lambda c: (c + 0.5) / 8
+    x, y = centre(F.col("cell") % 8), centre(F.floor(F.col("cell") / 8))
+    # shares are taken from the largest count; each empty cell weighs exp(-most), and all centres sum to 32
+    top = cells.groupBy("tile_id").agg(F.max_by("cell", F.struct("n", -F.col("cell"))).alias("best"), F.max("n").alias("most"), F.collect_list(F.struct("n", x.alias("x"), y.alias("y"))).alias("cells"))  # 64 cells at most
+    base = F.exp(-F.col("most"))
+    over = lambda part: F.aggregate("cells", F.lit(0.0), lambda a, c: a + (F.exp(c["n"] - F.col("most")) - base) * part(c))
+    total = over(lambda c: F.lit(1.0)) + 64 * base
+    soft = lambda k: F.round((over(lambda c: c[k]) + 32 * base) / total, 9)
+    return top.select("tile_id", F.col("best").alias("cell"), F.col("most").alias("n"), centre(F.col("best") % 8).alias("x"), centre(F.floor(F.col("best") / 8)).alias("y"), soft("x").alias("soft_x"), soft("y").alias("soft_y"), F.round(1 / total, 9).alias("peak"))
 
 
 # ---- sets ----
@@ -420,9 +432,49 @@ def val_exact_dups(spark, d):
     return rows.agg(F.count("*").alias("copies"), F.countDistinct(F.col("doc_id") % 5).alias("n_splits"), F.min("doc_id").alias("first_id")).where("n_splits > 1")
 
 
-@query("val_leakage", twin("select query_type, count(distinct split) as n_splits, count(*) as n from smp group by query_type"))
+#: Punctuation that counts as equal, and what prompts are compared without.
+MARKS, PLAIN_MARKS = "，。？！、：；（）“”‘’", ",.?!,:;()\"\"''"
+BLANKS, ENDING = r"[\x09-\x0D\x20\x{3000}]+", r"[.,!?;:]+\z"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def normalised(text):
+    """Text without blanks and marks at its end, A-Z in lower case, one form of each mark."""
+    return F.regexp_replace(F.translate(F.regexp_replace(text, BLANKS, ""), UPPER + MARKS, UPPER.lower() + PLAIN_MARKS), ENDING, "")
+
+
+def leakage(train, evaluated):
+    """For each ``grp`` of ``evaluated``: its prompts, and how many prompts of ``train`` are among them exactly and when normalised; a verdict over all groups.
+
+    Prompts meet by digest; training ones are counted by digest first, so a prompt that very many rows share is one row in the join. Null prompts are none.
+    """
+    kinds = lambda df: df.where("prompt is not null").select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.sha2(v, 256).alias("digest")) for k, v in (("exact", F.col("prompt")), ("normalised", normalised(F.col("prompt"))))))).alias("k")).select(*(c for c in df.columns if c != "prompt"), "k.*")
+    known = kinds(train).groupBy("kind", "digest").agg(F.count("*").alias("n"))
+    seen = kinds(evaluated).groupBy("grp", "kind", "digest").agg(F.count("*").alias("m"))
+    hits = seen.join(known, ["kind", "digest"], "left").groupBy("grp").agg(F.sum(F.when(F.col("kind") == "exact", F.col("m"))).alias("prompts"), *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{k}_overlaps") for k in ("exact", "normalised")))
+    found = F.sum("normalised_overlaps").over(Window.partitionBy(F.lit(1)))  # one row a group
+    return hits.withColumn("verdict", F.when(found == 0, "NO_LEAKAGE").otherwise("INVALID_EXPERIMENT"))
+
+
+_PLAIN = f"sha256(regexp_replace(translate(regexp_replace(text, '{BLANKS}', '', 'g'), '{UPPER}{MARKS}', '{UPPER.lower()}{PLAIN_MARKS.replace(chr(39), chr(39) * 2)}'), '{ENDING}', ''))"
+
+
+@query("val_leakage", f"""
+with t as (select text, {_PLAIN} as plain from documents where text is not null and doc_id % 5 > 1),
+e as (select grp, text, {_PLAIN} as plain from (
+  select case doc_id % 5 when 0 then 'test' else 'val' end as grp, text from documents where text is not null and doc_id % 5 < 2
+  union all select 'restyled', ' ' || replace(text, ',', '，') || '。!' from documents where text is not null and doc_id % 50 = 2)),
+r as (select grp, count(*) as prompts,
+             (select count(*) from t where text in (select text from e b where b.grp = a.grp)) as exact_overlaps,
+             (select count(*) from t where plain in (select plain from e b where b.grp = a.grp)) as normalised_overlaps from e a group by grp)
+select *, case when (select sum(normalised_overlaps) from r) = 0 then 'NO_LEAKAGE' else 'INVALID_EXPERIMENT' end as verdict from r""")
 def val_leakage(spark, d):
-    return samples(spark, d).groupBy("query_type").agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n"))
+    """Training texts that evaluation texts repeat, for the two held-out splits and for training texts in another style, which only normalising finds."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
+    k = F.col("doc_id") % 5
+    restyled = docs.where("doc_id % 50 = 2").select(F.lit("restyled").alias("grp"), F.concat(F.lit(" "), F.replace("prompt", F.lit(","), F.lit("，")), F.lit("。!")).alias("prompt"))
+    held = docs.where(k < 2).select(F.when(k == 0, "test").otherwise("val").alias("grp"), "prompt")
+    return leakage(docs.where(k > 1).select("prompt"), held.unionByName(restyled))
 
 
 @query("val_duplicates", twin("select tile_id, target, count(*) as n from smp group by 1, 2 having count(*) > 1"))

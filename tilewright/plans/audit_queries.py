@@ -177,8 +177,8 @@ _CODES_SQL = """(select r.*, unnest(list_filter([
 _ISSUES_SQL = _CODES_SQL.format(rows=_BROKEN, programs=", ".join(f"'{p}'" for p in PROGRAMS))
 
 
-def issues(spark, d):
-    """One row for each code that a stored record offends."""
+def judged(spark, d):
+    """Stored records with the codes that they offend."""
     c = tiles(spark, d).select("tile_id", "component_id", "area_px", "border", "mrg", "tiny")
     of = lambda k: c.select("tile_id", *(C(x).alias(f"{k}_{x}" if x != "component_id" else k) for x in c.columns[1:]), F.lit(True).alias(f"{k}_known"))
     rows = stored(spark, d).join(of("target"), ["tile_id", "target"], "left").join(of("reference"), ["tile_id", "reference"], "left")
@@ -202,7 +202,39 @@ def issues(spark, d):
         ~C("query_type").isin(*PROGRAMS),
     )
     found = F.array_compact(F.array(*(F.when(test, F.lit(code)) for test, code in zip(tests, CODES, strict=True))))
-    return rows.select("tile_id", "split", "level", "query_type", "reference", "target", F.explode(found).alias("code"))
+    return rows.select("tile_id", "split", "level", "query_type", "reference", "target", "trivial", found.alias("codes"))
+
+
+def issues(spark, d):
+    """One row for each code that a stored record offends."""
+    return judged(spark, d).select("tile_id", "split", "level", "query_type", "reference", "target", F.explode("codes").alias("code"))
+
+
+_BLOCKING_SQL = ", ".join(f"'{c}'" for c in BLOCKING)
+
+
+@query("val_report", twin(f"""
+select *, case when n_blocking + n_duplicate_keys > 0 then 'FAIL_REQUIRES_REVISION' when n_issues > 0 then 'PASS_WITH_WARNINGS' else 'PASS' end as verdict
+from (select split, count(*) as n_records, count(distinct tile_id) as n_tiles, count(*) filter (level = 1) as n_level1, count(*) filter (level = 2) as n_level2, count(*) filter (level = 3) as n_level3, count(*) filter (trivial) as n_trivial from {_BROKEN} group by split)
+join (select split, count(*) filter (n > 1) as n_duplicate_keys from (select split, count(*) as n from {_BROKEN} group by split, tile_id, regexp_replace(query_type, '_to_nearest$', ''), target) group by split) using (split)
+left join (select split, count(*) as n_issues, count(*) filter (code in ({_BLOCKING_SQL})) as n_blocking, count(distinct (tile_id, query_type)) as n_flagged from {_ISSUES_SQL} group by split) using (split)"""))
+def val_report(spark, d):
+    """The whole audit by split: records by level, codes, keys of tile, canonical program and answer that occur repeatedly, and a verdict. All windows share the tile's exchange."""
+    key = Window.partitionBy("tile_id", F.regexp_replace("query_type", "_to_nearest$", ""), "target").orderBy("level", "query_type")
+    rows = judged(spark, d).withColumn("second", F.row_number().over(key) == 2)
+    blocking = F.size(F.filter("codes", lambda c: c.isin(*BLOCKING)))
+    counts = rows.groupBy("split").agg(
+        F.count("*").alias("n_records"),
+        F.countDistinct("tile_id").alias("n_tiles"),
+        *(F.count_if(C("level") == k).alias(f"n_level{k}") for k in (1, 2, 3)),
+        F.count_if("trivial").alias("n_trivial"),
+        F.sum(F.size("codes")).alias("n_issues"),
+        F.count_if(F.size("codes") > 0).alias("n_flagged"),
+        F.sum(blocking).alias("n_blocking"),
+        F.count_if("second").alias("n_duplicate_keys"),
+    )
+    verdict = F.when(C("n_blocking") + C("n_duplicate_keys") > 0, "FAIL_REQUIRES_REVISION").when(C("n_issues") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
+    return counts.withColumn("verdict", verdict)
 
 
 @query("val_record", twin(f"select split, code, count(*) as n, count(distinct tile_id) as n_tiles from {_ISSUES_SQL} group by split, code"))

@@ -482,11 +482,6 @@ def val_duplicates(spark, d):
     return samples(spark, d).groupBy("tile_id", "target").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("val_report", twin("select level, count(*) as n, count(*) filter (target is null) as n_missing, count(*) filter (reference = target) as n_self from smp group by level"))
-def val_report(spark, d):
-    return samples(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("n_missing"), F.count_if(F.col("reference") == F.col("target")).alias("n_self"))
-
-
 # ---- metrics ----
 
 

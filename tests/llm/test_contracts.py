@@ -165,6 +165,38 @@ def test_large_models_are_joined(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("options", [{}, {"table_rows": 2, "broadcast_rows": 0}])
+def test_every_trusted_document_is_counted(spark, options):
+    rng = random.Random(4)
+    rows = [(i, "en" if i % 3 else None, " ".join(rng.choices("a b c d e f".split(), k=rng.randint(0, 9)))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    labels = docs.selectExpr("doc_id", "int(doc_id < 60) as quality")
+    half = {r.doc_id: r.half for r in docs.where("doc_id < 60").selectExpr("doc_id", "int(pmod(xxhash64(11, doc_id), 2L)) as half").collect()}
+    assert set(half.values()) == {0, 1}
+    logs = [plain_kneser_ney([t for d, _, t in rows if half.get(d) == i], [t for _, _, t in rows])[0] for i in (0, 1)]
+    want = {d: logs[1 - half[d]][d] if d in half else (logs[0][d] + logs[1][d]) / 2 for d, _, _ in rows}
+    limit = {}
+    for lang in ("en", None):
+        values = sorted(want[d] for d, x, _ in rows if x == lang and d in half)
+        limit[lang] = values[math.ceil(0.5 * len(values)) - 1]
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels, quantile=0.5, **options).collect()}
+    assert len(got) == len(rows)
+    for d, lang, t in rows:
+        r = got[d]
+        assert r.n_words == len(t.split()) and math.isclose(math.log(r.perplexity), want[d], rel_tol=1e-5)
+        assert math.isclose(math.log(r.threshold), limit[lang], rel_tol=1e-5)
+        assert r.keep == (want[d] <= limit[lang]) or math.isclose(want[d], limit[lang], rel_tol=1e-5)
+
+
+def test_joined_scores_do_not_depend_on_shards(spark):
+    rng = random.Random(6)
+    train = [" ".join(rng.choices("a b c d e f g h".split(), k=12)) for _ in range(50)]
+    tables = kneser_ney.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    docs = spark.createDataFrame([*enumerate(["", "a b", "z z z", "a b c d " * 50, *train[:9]]), (None, None)], "doc_id long, text string").repartition(4)
+    one, many = (sorted((str(r.doc_id), r.n_words, round(r.log_perplexity, 9)) for r in kneser_ney.score_joined(docs, tables, ["doc_id"], **k).collect()) for k in ({}, {"shard_chars": 10, "shard_rows": 7}))
+    assert one == many and len(one) == 14
+
+
 # ---- packing, chat: ids of any type ----
 
 

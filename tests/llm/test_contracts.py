@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -323,6 +324,26 @@ def test_gradients_equal_differences(monkeypatch):
         assert math.isclose(got, difference(k, at), rel_tol=1e-4, abs_tol=1e-7), (k, at)
 
 
+def test_a_batch_is_looked_up_in_parts():
+    rng = random.Random(8)
+    texts = pa.array([None, "", "zz " * 3, *(" ".join(rng.choices("a b c dd ee never rare".split(), k=2000)) for _ in range(300)), ""])
+    words = ["a", "b", "c", "dd", "ee"]
+    vocabulary = lm.Vocabulary(pa.array(words), np.array([9, 8, 7, 6, 5]), 4, np.ones((2, 2), np.int64) * 100, 400, 9, 2, 2, 2, 4)
+    batch, log_base = pa.RecordBatch.from_arrays([texts], ["text"]), np.log10(np.arange(1.0, 6))
+    n, found, peak = 600_003, [], []
+    for part_bytes in (1 << 16, 1 << 40):
+        tracemalloc.start()
+        found.append(lm.looked_up(batch, vocabulary, log_base, part_bytes))
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[0] < 12 * n < 24 * n < peak[1]
+    assert all((found[0][i] == found[1][i]).all() for i in (0, 1)) and found[0][2]["rare"].to_pylist() == found[1][2]["rare"].to_pylist()
+    assert len(found[0][0]) == n and all(np.allclose(found[0][2][c], found[1][2][c]) for c in ("has", "base", "share"))
+    t = texts[9].as_py().split()
+    assert found[0][2]["has"][9].as_py() == sum(w in words for w in t) and found[0][2]["rare"][9].as_py() == [w for w in t if w not in words]
+    assert math.isclose(found[0][2]["base"][9].as_py(), sum(log_base[words.index(w)] for w in t if w in words))
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     rows = [(i, " ".join(random.Random(i).choices("a b c d e".split(), k=i % 13))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.col("doc_id") % 7 != 2)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .common import arrow_batches, ascii_lower, discard, held_out, materialise, read_table
+from .neardup import slices
 
 WORDS = 2047
 CLASSES = 32
@@ -47,6 +48,8 @@ SHARD_TOKENS = 1_000_000
 ROUNDS = 3
 FAN = 32
 BLOCK = 16_384
+#: Bytes of text that are looked up at a time; of what was looked up before, four bytes a word are kept.
+PART_BYTES = 1 << 23
 
 
 def tail_class(word: Column, n_tails: int) -> Column:
@@ -129,6 +132,25 @@ class Vocabulary:
         return ids, lengths, at, words
 
 
+def looked_up(texts: pa.RecordBatch, vocabulary: Vocabulary, log_base: np.ndarray, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """Token ids of a column of texts on end, words of each text, and of each text: has (words in the lookup), base and share
+    (sums of their log10), rare (the other words). A whole batch's words take too much memory at once, so texts go in parts."""
+    ids, sizes, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
+    for part in slices(texts, 0, part_bytes):
+        part_ids, lengths, at, said = vocabulary.encode(part.column(0))
+        known, m = at >= 0, len(lengths)
+        doc, pos = np.repeat(np.arange(m), lengths)[known], at[known]
+        rare = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), said.filter(pa.array(~known)))
+        columns = (np.bincount(doc, minlength=m), np.bincount(doc, log_base[pos], m), np.bincount(doc, vocabulary.share[pos], m))
+        rows.append(pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), lists], ["has", "base", "share", "rare"]))
+        ids.append(part_ids)
+        sizes.append(lengths)
+        del part_ids, at, said, known, doc, pos, lists
+    found = pa.Table.from_batches(rows).combine_chunks().to_batches()
+    return np.concatenate(ids), np.concatenate(sizes), found[0] if found else rows[0]
+
+
 def average(parts: DataFrame, fan: int = FAN) -> DataFrame:
     """(block, part) with the mean of weights (shard, tokens, block, part), in groups of ``fan`` shards at a time."""
 
@@ -221,21 +243,17 @@ def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (),
         vocabulary, weights = shared.value
         log_base = np.log10((vocabulary.counts + 1) / (total + distinct + 1))
         for batch in batches:
-            ids, lengths, at, said = vocabulary.encode(batch.column(n))
+            if not len(batch):
+                continue
+            ids, lengths, of = looked_up(batch.select([n]), vocabulary, log_base)
             ends = np.cumsum(lengths)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            known = at >= 0
-            of_known, pos = doc[known], at[known]
-            m = len(lengths)
-            model = gru.score(weights, vocabulary.shape, ids, ends - lengths, lengths) / math.log(10)
-            model += np.bincount(of_known, vocabulary.share[pos], m)
-            base = np.bincount(of_known, log_base[pos], m) + log_end
-            rare = np.concatenate([[0], np.cumsum(~known)])[np.concatenate([[0], ends])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), said.filter(pa.array(~known)))
-            has = np.bincount(of_known, minlength=m) + (n_docs > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), lists], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare"])
-
-    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text"), "64m").mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
+            model = gru.score(weights, vocabulary.shape, ids, ends - lengths, lengths) / math.log(10) + of["share"].to_numpy()
+            has, base = of["has"].to_numpy() + (n_docs > 0), of["base"].to_numpy() + log_end
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), of["rare"]], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare"])
+            del ids, of
+            pa.default_memory_pool().release_unused()
+
+    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text"), "32m").mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
     scored = materialise(scored.withColumn("row_id", F.monotonically_increasing_id()), "lm-scores")
 
     # words outside the lookup meet their counts

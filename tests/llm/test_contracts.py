@@ -324,6 +324,33 @@ def test_gradients_equal_differences(monkeypatch):
         assert math.isclose(got, difference(k, at), rel_tol=1e-4, abs_tol=1e-7), (k, at)
 
 
+def test_white_space_around_a_space_encodes_as_in_whole_texts():
+    space = ["\n", "\t", "\x0b", "\x85", "\xa0", "\u3000", "\u2028", "", "\r\n"]
+    texts = [f"foo{a} {b}bar é{b}" for a in space for b in space] + [f"foo{a} " for a in space] + [f" {a}x {a}" for a in space]
+    texts += [" ".join(random.Random(i).choices(["a", "don't", "\nx", "y\n", "\n", "\u3000", "漢字", "...", "\x1c", "l" * 60, "\x00"], k=30)) for i in range(40)]
+    enc = packing.load_tokenizer(packing.TOKENIZER)
+    ids, counts = packing.encode_texts(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_words_are_encoded_in_one_call(monkeypatch):
+    enc, calls = packing.load_tokenizer(packing.TOKENIZER), []
+
+    class Counted:
+        max_token_value, decode_single_token_bytes = enc.max_token_value, staticmethod(enc.decode_single_token_bytes)
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return enc.encode_ordinary(text)
+
+    monkeypatch.setattr(packing, "load_tokenizer", lambda path: Counted())
+    texts = [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(100)]
+    ids, _ = packing.encode_texts(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in enc.encode_ordinary(t)]
+    assert len(calls) <= len(texts) + 2
+
+
 def test_a_batch_is_looked_up_in_parts():
     rng = random.Random(8)
     texts = pa.array([None, "", "zz " * 3, *(" ".join(rng.choices("a b c dd ee never rare".split(), k=2000)) for _ in range(300)), ""])

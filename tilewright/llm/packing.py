@@ -35,11 +35,14 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_ID = 50256
 ROW = 2048
 BUFFER_TOKENS = 4_000_000
-#: Distinct words that a worker keeps with their ids.
+#: Distinct units that a worker keeps with their ids.
 CACHE = 400_000
 #: Fixed value: the public split pattern of this tokenizer's vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Where the pattern may join a space to what stands before it: double spaces, and a space between white space, or behind it at the end.
+JOINED = r"  |[\s\v\x{85}\pZ] (?:[\s\v\x{85}\pZ]|$)"
+
 
 @functools.cache
 def load_tokenizer(path: str):
@@ -64,6 +67,22 @@ def unit_ids(path: str, unit: str) -> np.ndarray:
     return got
 
 
+@functools.cache
+def leads(path: str) -> np.ndarray:
+    """Which token ids begin with a space."""
+    enc = load_tokenizer(path)
+    return np.array([raw[:1] == b" " for raw in map(enc.decode_single_token_bytes, range(enc.max_token_value + 1))])
+
+
+def spaced_ids(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of words, none of them empty, with a space or with white space at an end, each behind a space, on end, and the words' token counts.
+
+    All are encoded as one text; the one token of each word that has its space begins with it.
+    """
+    ids = np.array(load_tokenizer(path).encode_ordinary("".join(" " + w for w in words)), np.int32)
+    return ids, np.diff(np.append(np.flatnonzero(leads(path)[ids]), len(ids)))
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices of the concatenation of slices [start, start + len)."""
     ends = np.cumsum(lens)
@@ -74,28 +93,36 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 def encode_texts(texts: pa.Array, path: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts on end, and the texts' token counts; the same ids as the tokenizer gives for each whole text.
 
-    The split pattern never joins a single space to what stands before it, so words with their
-    leading space can be encoded once each; texts with double spaces go whole.
+    The split pattern joins a single space to what stands before it only where that is white space and
+    no word follows, so other words with their leading space can be encoded once each; such texts, and those with double spaces, go whole.
     """
     texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    whole = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
+    whole = pc.match_substring_regex(texts, JOINED).to_numpy(zero_copy_only=False)
     parts = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar(""), texts), " ")
     offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py() if len(parts) else np.zeros(1, np.int64)
     flat = parts.flatten().dictionary_encode()
-    first = np.zeros(len(flat), bool)
-    first[offsets[:-1]] = True
+    starts_text = np.zeros(len(flat), bool)
+    starts_text[offsets[:-1]] = True
     size = len(flat.dictionary)
-    code = flat.indices.to_numpy().astype(np.int64) + size * first
+    code = flat.indices.to_numpy().astype(np.int64) + size * starts_text
     used = np.zeros(2 * size, bool)
     used[code] = True
     words = flat.dictionary.to_pylist()
-    ids = [unit_ids(path, " " + words[i]) if used[i] else None for i in range(size)] + [unit_ids(path, words[i]) if used[i + size] else None for i in range(size)]
-    lens = np.array([0 if x is None else len(x) for x in ids], np.int64)
-    table = np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)])
+    plain = [w != "" and w == w.strip() for w in words]
+    behind, first = np.flatnonzero(used[:size]).tolist(), np.flatnonzero(used[size:]).tolist()  # words behind a space, and first words of texts
+    inside = [i for i in behind if plain[i]]
+    others = [(i, " " + words[i]) for i in behind if not plain[i]] + [(i + size, words[i]) for i in first]
+    table, n = spaced_ids(path, [words[i] for i in inside])
+    more = [unit_ids(path, unit) for _, unit in others]
+    order = np.array(inside + [i for i, _ in others], np.int64)
+    n = np.concatenate([n, np.array([len(x) for x in more], np.int64)])
+    lens, starts = np.zeros((2, 2 * size), np.int64)
+    lens[order], starts[order] = n, np.cumsum(n) - n
+    table = np.concatenate([table, *more])
     n = lens[code]
-    out = table[ragged((np.cumsum(lens) - lens)[code], n)]
+    out = table[ragged(starts[code], n)]
     counts = np.add.reduceat(np.append(n, 0), offsets[:-1]) * (np.diff(offsets) > 0) if len(texts) else np.zeros(0, np.int64)
     if whole.any():
         ends = np.cumsum(counts)

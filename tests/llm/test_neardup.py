@@ -108,3 +108,11 @@ def test_keep_is_once_for_each_class(spark):
     assert found.where("keep").count() == 1
     assert [r.class_size for r in found.select("class_size").distinct().collect()] == [20]
     assert neardup.drop_near_duplicates(docs.withColumn("row_key_x", F.lit(1))).count() == 1
+
+
+def test_pairs_of_a_run_of_shared_shingles_meet_once(spark):
+    prefixes = {"a": [1, 2, 3, 4, 5, 6, 7], "b": [1, 2, 3, 4, 5, 6, 7], "c": [9, 3, 4, 5, 6, 7, 8], "d": [20, 21, 1, 22, 23, 24, 2]}
+    rows = [(0, u, k, 10, k, 10 - i, p[max(0, i - neardup.BEFORE) : i], "z") for k, p in prefixes.items() for i, u in enumerate(p)]
+    met = spark.createDataFrame(rows, "hub long, unit long, node string, n long, label string, left long, before array<long>, top string")
+    got = Counter((r.a, r.b) for r in neardup.met_pairs(met, 0.1).collect())
+    assert got == dict.fromkeys([("a", "b"), ("a", "c"), ("b", "c"), ("a", "d"), ("b", "d")], 2)  # once from each side

@@ -371,6 +371,49 @@ def test_a_batch_is_looked_up_in_parts():
     assert math.isclose(found[0][2]["base"][9].as_py(), sum(log_base[words.index(w)] for w in t if w in words))
 
 
+def test_batches_are_scored_together_without_their_texts():
+    rng = random.Random(9)
+    vocabulary = lm.Vocabulary(pa.array(["a", "b", "c"]), np.array([9, 8, 7]), 4, np.ones((2, 2), np.int64) * 100, 400, 9, 2, 2, 2, 4)
+    log_base, text = np.log10(np.arange(1.0, 4)), lambda: " ".join(rng.choices(["a", "b", "c", "never"], k=2000))
+    rows = [(i, text() if i % 9 else None) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["k0", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        for i in range(0, 900, 30):
+            out.write_batch(batch.slice(i, 30))
+    stream = sink.getvalue().to_pybytes()
+    ids, lengths, of = lm.looked_up(batch.select([1]), vocabulary, log_base)
+    got, held = [], []
+
+    def read():  # a copy of each batch, whose memory counts
+        for b in pa.ipc.open_stream(pa.BufferReader(stream)):
+            held.append(pa.total_allocated_bytes())
+            yield b.take(pa.array(range(len(b))))
+
+    for part in lm.gathered(read(), 1, vocabulary, log_base, most=10**6):
+        got.append(part)
+    assert [len(p[0]) >= 10**6 for p in got] == [True, False] and sum(len(p[0]) for p in got) == 1_600_000
+    assert (np.concatenate([p[0] for p in got]) == ids).all() and (np.concatenate([p[1] for p in got]) == lengths).all()
+    table = pa.concat_tables([p[2] for p in got])
+    assert table["k0"].to_pylist() == list(range(900)) and all(table[c].to_pylist() == of[c].to_pylist() for c in ("has", "base", "share"))
+    rare = sum(len(w) for x in of["rare"].to_pylist() for w in x)
+    assert max(held) - held[0] < rare + 4 * 400_000 + len(stream) // 4
+
+
+def test_targets_of_a_layout_are_its_inputs():
+    lengths = np.array([4, 0, 7, 1, 2])
+    ids = np.arange(1, 15, dtype=np.int32)
+    x, y, fresh, doc, running = gru.layout(ids, np.cumsum(lengths) - lengths, lengths, 2, 3)
+    assert np.shares_memory(x, y)
+    found = {}
+    for t in range(len(x)):
+        for k in range(running[t]):
+            found.setdefault(int(doc[t, k]), []).append((bool(fresh[t, k]), int(x[t, k]), int(y[t, k])))
+    for d, (low, n) in enumerate(zip(np.cumsum(lengths) - lengths, lengths, strict=True)):
+        t = ids[low : low + n].tolist()
+        assert found[d] == list(zip([True] + [False] * n, [0, *t], [*t, 0], strict=True))
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     rows = [(i, " ".join(random.Random(i).choices("a b c d e".split(), k=i % 13))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.col("doc_id") % 7 != 2)

@@ -136,15 +136,14 @@ def layout(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int,
     lanes = lanes_of(lengths + 1, most, least_steps)
     size = np.array([int((lengths[lane] + 1).sum()) for lane in lanes])
     steps = int(size.max())
-    x = np.zeros((steps, len(lanes)), np.int32)
-    y, fresh, doc = np.zeros_like(x), np.zeros(x.shape, bool), np.zeros_like(x)
+    both = np.zeros((steps + 1, len(lanes)), np.int32)
+    x, y = both[:-1], both[1:]  # a target is the next input, the end that of the next document
+    fresh, doc = np.zeros(x.shape, bool), np.zeros_like(x)
     for k, lane in enumerate(lanes):
         at = 0
         for d in lane:
             n = int(lengths[d])
-            part = ids[starts[d] : starts[d] + n]
-            x[at + 1 : at + 1 + n, k] = part
-            y[at : at + n, k] = part
+            y[at : at + n, k] = ids[starts[d] : starts[d] + n]
             fresh[at, k] = True
             doc[at : at + n + 1, k] = d
             at += n + 1

@@ -50,6 +50,8 @@ FAN = 32
 BLOCK = 16_384
 #: Bytes of text that are looked up at a time; of what was looked up before, four bytes a word are kept.
 PART_BYTES = 1 << 23
+#: Tokens that are scored together, as many as 32 MB of text have; their texts are gone by then.
+SCORED_TOKENS = 5_000_000
 
 
 def tail_class(word: Column, n_tails: int) -> Column:
@@ -151,6 +153,28 @@ def looked_up(texts: pa.RecordBatch, vocabulary: Vocabulary, log_base: np.ndarra
     return np.concatenate(ids), np.concatenate(sizes), found[0] if found else rows[0]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, vocabulary: Vocabulary, log_base: np.ndarray, most: int = SCORED_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """What ``looked_up`` gives of consecutive batches of about ``most`` tokens together, with their other columns in front.
+    Of each batch the token ids are kept, not its texts, so batches can be small where the network wants many lanes."""
+    ids, lengths, tables, size = [], [], [], 0
+    for batch in batches:
+        if len(batch):
+            part_ids, n, of = looked_up(batch.select([column]), vocabulary, log_base)
+            every = pa.array(np.arange(len(batch)))  # copies, as a column by itself would hold its whole batch
+            others = {name: c.take(every) for i, (name, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if i != column}
+            tables.append(pa.table(others | dict(zip(of.schema.names, of.columns, strict=True))))
+            ids.append(part_ids)
+            lengths.append(n)
+            size += len(part_ids)
+            del part_ids, of, others
+        del batch
+        if size >= most:
+            yield np.concatenate(ids), np.concatenate(lengths), pa.concat_tables(tables)
+            ids, lengths, tables, size = [], [], [], 0
+    if tables:
+        yield np.concatenate(ids), np.concatenate(lengths), pa.concat_tables(tables)
+
+
 def average(parts: DataFrame, fan: int = FAN) -> DataFrame:
     """(block, part) with the mean of weights (shard, tokens, block, part), in groups of ``fan`` shards at a time."""
 
@@ -242,18 +266,16 @@ def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         log_base = np.log10((vocabulary.counts + 1) / (total + distinct + 1))
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, lengths, of = looked_up(batch.select([n]), vocabulary, log_base)
+        for ids, lengths, of in gathered(batches, n, vocabulary, log_base):
             ends = np.cumsum(lengths)
             model = gru.score(weights, vocabulary.shape, ids, ends - lengths, lengths) / math.log(10) + of["share"].to_numpy()
             has, base = of["has"].to_numpy() + (n_docs > 0), of["base"].to_numpy() + log_end
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), of["rare"]], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare"])
+            out = pa.table([*of.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), of["rare"]], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare"])
             del ids, of
             pa.default_memory_pool().release_unused()
+            yield from out.to_batches()
 
-    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text"), "32m").mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
+    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text")).mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
     scored = materialise(scored.withColumn("row_id", F.monotonically_increasing_id()), "lm-scores")
 
     # words outside the lookup meet their counts

@@ -7,13 +7,14 @@ import struct
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, gru, kneser_ney, langid, lm, media, mixing, neardup, packing
+from tilewright.llm import chat, common, gru, kneser_ney, langid, lm, media, mixing, neardup, packing
 
 WORDS = {"aa": ["kala", "mano", "tiki", "lopa", "sule"], "bb": ["strung", "welcht", "borg", "frind", "klar"], "cc": ["qui", "vous", "leau", "dont", "pour"]}
 
@@ -189,6 +190,30 @@ def test_every_trusted_document_is_counted(spark, options):
         assert r.keep == (want[d] <= limit[lang]) or math.isclose(want[d], limit[lang], rel_tol=1e-5)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    left = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark._jvm.System.gc()
+    before, setting = left(), spark.conf.get(common.CLEAN_UP)
+    common.materialise(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "clean-up")
+    assert left() <= before and spark.conf.get(common.CLEAN_UP) == setting
+
+
+def test_models_are_deleted_when_documents_are_scored(spark):
+    rows = [(i, "en", " ".join(random.Random(i).choices("a b c d".split(), k=9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    there = lambda: set(Path(common.shared_dir(spark).removeprefix("file://")).glob("kn-*"))
+    before = there()
+    assert kneser_ney.classify(docs, docs.selectExpr("doc_id", "1 as quality"), table_rows=2).count() == 60
+    assert {x.name.rsplit("-", 1)[0] for x in there() - before} == {"kn-trusted", "kn-scores"}
+
+
+def test_values_join_trigrams_once(spark):
+    """A trigram's context is counted beside it, so only the lower order is joined."""
+    tables = kneser_ney.fit(spark.createDataFrame([("a b c a b d",)], "text string"))
+    rest = {(r.a, r.b): r.p for r in tables.rest3.collect()}
+    assert all(r.rest == rest[r.a, r.b] for r in tables.three.collect())
+
+
 def test_joined_scores_do_not_depend_on_shards(spark):
     rng = random.Random(6)
     train = [" ".join(rng.choices("a b c d e f g h".split(), k=12)) for _ in range(50)]

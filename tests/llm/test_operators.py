@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tilewright.llm import chat, decontaminate, gru, kneser_ney, langid, lm, media, mixing, packing, warc
@@ -177,6 +178,16 @@ def test_lm_base_score(spark, odd, none):
     assert lm.score_documents(empty, empty["train"], ("doc_id",)).count() == 0
 
 
+def test_words_outside_the_lookup_are_counted_in_their_text():
+    """Each of a text's other words once, with its number, so that no shuffle has to count them."""
+    rare = pa.array([["q"], ["z", "y", "z"], [], ["y", "y", "y"], []], pa.list_(pa.string()))
+    want = [{"z": 2, "y": 1}, {}, {"y": 3}, {}]
+    for lists in (rare[1:], rare.take(pa.array([1, 2, 3, 4]))):
+        words, times = lm.counted(lists)
+        assert [dict(zip(x, n, strict=True)) for x, n in zip(words.to_pylist(), times.to_pylist(), strict=True)] == want
+    assert [x.to_pylist() for x in lm.counted(rare[:0])] == [[], []]
+
+
 def shards_of(monkeypatch, docs, **options):
     """(row, shard, words) of what the network is trained on, and the number of shards."""
 

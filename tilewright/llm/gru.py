@@ -68,7 +68,11 @@ def logits(h: np.ndarray, w: np.ndarray, bias: np.ndarray, out: np.ndarray) -> n
     """Into ``out``, with the greatest bias taken off and kept within what exponentials of 32-bit numbers
     stand, so that no row needs a search for its greatest entry."""
     np.matmul(h, w, out=out)
-    out += bias - bias.max()
+    bias = bias - bias.max()
+    out += bias
+    # states are within 1, so where the weights are small no entry can be out of these limits
+    if np.abs(w).sum(0).max() - bias.min() < 60:
+        return out
     return np.clip(out, -60, 60, out=out)
 
 
@@ -151,7 +155,7 @@ def layout(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int,
     return x, y, fresh, doc, running
 
 
-def score(p: dict, shape: Shape, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: int = 1024, window: int = 32) -> np.ndarray:
+def score(p: dict, shape: Shape, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lanes: int = 512, window: int = 128) -> np.ndarray:
     """Natural log probability of each document, with the state carried from window to window."""
     out = np.zeros(len(lengths))
     if not len(lengths):

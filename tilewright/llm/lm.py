@@ -153,6 +153,16 @@ def looked_up(texts: pa.RecordBatch, vocabulary: Vocabulary, log_base: np.ndarra
     return np.concatenate(ids), np.concatenate(sizes), found[0] if found else rows[0]
 
 
+def counted(lists: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """The different words of each list, and how often each is in it."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten().dictionary_encode()
+    k = max(1, len(words.dictionary))
+    pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * k + words.indices.to_numpy(), return_counts=True)
+    ends = pa.array(np.searchsorted(pairs // k, np.arange(len(sizes) + 1)), pa.int32())
+    return pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pairs % k))), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, vocabulary: Vocabulary, log_base: np.ndarray, most: int = SCORED_TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
     """What ``looked_up`` gives of consecutive batches of about ``most`` tokens together, with their other columns in front.
     Of each batch the token ids are kept, not its texts, so batches can be small where the network wants many lanes."""
@@ -270,17 +280,17 @@ def score_documents(docs: DataFrame, train: Column, keep: tuple[str, ...] = (),
             ends = np.cumsum(lengths)
             model = gru.score(weights, vocabulary.shape, ids, ends - lengths, lengths) / math.log(10) + of["share"].to_numpy()
             has, base = of["has"].to_numpy() + (n_docs > 0), of["base"].to_numpy() + log_end
-            out = pa.table([*of.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), of["rare"]], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare"])
+            out = pa.table([*of.columns[:n], pa.array(lengths + 1, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), *counted(of["rare"].combine_chunks())], [*(f"k{i}" for i in range(n)), "n_tokens", "n_known", "base", "model", "rare", "times"])
             del ids, of
             pa.default_memory_pool().release_unused()
             yield from out.to_batches()
 
-    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text")).mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>"]))
+    scored = arrow_batches(rows.select(*(f"k{i}" for i in range(n)), "text")).mapInArrow(run, ", ".join([*out, "n_tokens long, n_known long, base double, model double, rare array<string>, times array<long>"]))
     scored = materialise(scored.withColumn("row_id", F.monotonically_increasing_id()), "lm-scores")
 
     # words outside the lookup meet their counts
     norm = F.array(*(F.lit(int(x)) for x in vocabulary.norm))
-    rare = scored.where("size(rare) > 0").select("row_id", F.explode("rare").alias("word")).groupBy("row_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    rare = scored.where("size(rare) > 0").select("row_id", F.inline(F.arrays_zip("rare", "times")).alias("word", "n"))
     rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = rare.groupBy("row_id").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
